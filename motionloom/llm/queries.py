@@ -7,19 +7,35 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motionloom.llm import pieces
+from motionloom.llm import grace, packing, pieces
 from motionloom.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir), PIECE_MODEL)
 
 
+def op4_grace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grace.exact_groups(table(spark, sf_dir))
+
+
+OP4_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+WINDOW g AS (PARTITION BY t)
+"""
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir), WORD_MODEL)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pieces": op1_pieces}
+    return {"op1_pieces": op1_pieces, "op4_grace": op4_grace, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_grace": OP4_SQL}
