@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motionloom.llm import grace, packing, pieces
+from motionloom.llm import grace, packing, pieces, quality, toxicity
 from motionloom.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +18,10 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir), PIECE_MODEL)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir), table(spark, sf_dir, "labels"), folds=5, fold=0, threshold=0.3)
+
+
 def op4_grace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace.exact_groups(table(spark, sf_dir))
 
@@ -29,12 +33,17 @@ WINDOW g AS (PARTITION BY t)
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(table(spark, sf_dir), table(spark, sf_dir, "labels"), folds=4, fold=2, threshold=0.3)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir), WORD_MODEL)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pieces": op1_pieces, "op4_grace": op4_grace, "op10_packing": op10_packing}
+    return {"op1_pieces": op1_pieces, "op3_quality": op3_quality, "op4_grace": op4_grace, "op8_toxicity": op8_toxicity, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
