@@ -24,7 +24,7 @@ from motionloom.llm.common import id_crc_mod
 
 PREFIXES = (4, 5, 6)
 #: Prior weight as a share of all counted words, least log-odds and least z of a telling prefix, least decline a word.
-PRIOR_SHARE, LEAST_ODDS, LEAST_Z, DECLINE = 0.005, 2.5, 2.0, 0.1
+PRIOR_SHARE, LEAST_ODDS, LEAST_Z, DECLINE = 0.02, 2.0, 2.2, 0.1
 #: The model holds at most so many prefixes, those with the most evidence; its size is bounded by this.
 MAX_UNITS = 20_000
 CACHE_WORDS = 400_000
