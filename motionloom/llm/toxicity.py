@@ -22,9 +22,11 @@ from pyspark.sql import types as T
 from motionloom.llm.calibrate import isotonic
 from motionloom.llm.common import id_crc_mod
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 #: Prior weight as a share of all counted words, least log-odds and least z of a telling prefix, least decline a word.
-PRIOR_SHARE, LEAST_ODDS, LEAST_Z, DECLINE = 0.02, 2.0, 2.2, 0.1
+PRIOR_SHARE, LEAST_ODDS, LEAST_Z, DECLINE = 0.02, 2.0, 3.0, 0.1
+#: A unit counts at most so often in one row: text repeated without end is no new evidence.
+ROW_CAP = 8
 #: The model holds at most so many prefixes, those with the most evidence; its size is bounded by this.
 MAX_UNITS = 20_000
 CACHE_WORDS = 400_000
@@ -113,9 +115,9 @@ class ToxicModel:
 
 
 def _count_units(labelled: DataFrame) -> DataFrame:
-    """Toxic and clean rows that have each unit (text repeated in a row is no new evidence); partitions count first.
+    """Occurrences of each unit in toxic and in clean rows, ROW_CAP a row at most; partitions count first.
 
-    The unit "" counts the distinct words of all rows.
+    The unit "" counts all words in the same way.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +133,13 @@ def _count_units(labelled: DataFrame) -> DataFrame:
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = counts[y]
-                ws = set(words(text or ""))
-                c[""] += len(ws)
-                c.update({u for w in ws for u in units(w)})
+                own: Counter = Counter()
+                for w, n in Counter(words(text or "")).items():
+                    c[""] += min(n, ROW_CAP)
+                    for u in units(w):
+                        own[u] += n
+                for u, n in own.items():
+                    c[u] += min(n, ROW_CAP)
             if len(counts[0]) + len(counts[1]) > CACHE_WORDS:
                 yield flush()
         yield flush()
