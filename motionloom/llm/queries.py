@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motionloom.llm import grace, packing, pieces, quality, toxicity
+from motionloom.llm import grace, packing, pieces, quality, runs, toxicity
 from motionloom.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,6 +33,35 @@ WINDOW g AS (PARTITION BY t)
 """
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.dedup_lines(table(spark, sf_dir)).select("doc_id", "text", "lines_total", "lines_removed")
+
+
+OP6_SQL = """
+WITH l AS (
+  SELECT doc_id, pos - 1 AS at, ls[pos] AS line, coalesce(length(ls[pos]), 0) AS c, len(ls) AS total
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), s AS (
+  SELECT *, lead(line, 1) OVER d AS l1, lead(line, 2) OVER d AS l2, lead(line, 3) OVER d AS l3,
+    c + coalesce(lead(c, 1) OVER d, 0) AS c1, c + coalesce(lead(c, 1) OVER d, 0) + coalesce(lead(c, 2) OVER d, 0) AS c2,
+    c + coalesce(lead(c, 1) OVER d, 0) + coalesce(lead(c, 2) OVER d, 0) + coalesce(lead(c, 3) OVER d, 0) AS c3
+  FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY at)
+), w AS (
+  SELECT doc_id, at,
+    CASE WHEN c >= 40 THEN 1 WHEN c1 >= 40 AND at + 2 <= total THEN 2 WHEN c2 >= 40 AND at + 3 <= total THEN 3 WHEN c3 >= 40 AND at + 4 <= total THEN 4 END AS m,
+    CASE WHEN c >= 40 THEN [line] WHEN c1 >= 40 AND at + 2 <= total THEN [line, l1] WHEN c2 >= 40 AND at + 3 <= total THEN [line, l1, l2] WHEN c3 >= 40 AND at + 4 <= total THEN [line, l1, l2, l3] END AS k
+  FROM s
+), r AS (SELECT doc_id, at, m, row_number() OVER (PARTITION BY k ORDER BY doc_id, at) AS n FROM w WHERE m IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(range(at, at + m)) AS at FROM r WHERE n > 1),
+k AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.at) FILTER (WHERE g.at IS NULL) AS left_over, max(total) AS lines_total, count(g.at) AS lines_removed
+  FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.at = g.at GROUP BY l.doc_id
+)
+SELECT k.doc_id, CASE WHEN lines_removed = 0 THEN text ELSE coalesce(left_over, '') END AS text, lines_total, lines_removed
+FROM k JOIN documents d ON k.doc_id = d.doc_id
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_documents(table(spark, sf_dir), table(spark, sf_dir, "labels"), folds=4, fold=2, threshold=0.3)
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -43,8 +72,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pieces": op1_pieces, "op3_quality": op3_quality, "op4_grace": op4_grace, "op8_toxicity": op8_toxicity, "op10_packing": op10_packing}
+    return {"op1_pieces": op1_pieces, "op3_quality": op3_quality, "op4_grace": op4_grace, "op6_lines": op6_lines, "op8_toxicity": op8_toxicity, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_grace": OP4_SQL}
+    return {"op4_grace": OP4_SQL, "op6_lines": OP6_SQL}
