@@ -140,3 +140,13 @@ def test_packed_documents(odd_docs, no_docs):
         assert end <= 512
     assert len(at) == len(naive_best_fit([w[3] for w in want], 512))
     assert packing.pack_documents(no_docs, WORDS).count() == 0
+
+
+def test_units_of_the_word_tokenizer(rng):
+    from tokenizers import Tokenizer
+
+    t, w = Tokenizer.from_file(WORDS), packing.WordTokens(WORDS)
+    pool = ["It's", "x.", "DON'T,", "H̱", "İ.", "Σας", "<|endoftext|>", "a,b.", "!.", "9.", "ß,", "é", "\x1c", "\x85", "\xa0", " ", "\n", "İ", ".", "漢字.", "İ"]
+    for _ in range(2000):
+        s = "".join(rng.choice(pool) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 8)))
+        assert list(memoryview(next(w.encode([s]))).cast("I")) == t.encode(s, add_special_tokens=False).ids, repr(s)
