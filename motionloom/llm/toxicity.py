@@ -30,6 +30,9 @@ ROW_CAP = 8
 #: The model holds at most so many prefixes, those with the most evidence; its size is bounded by this.
 MAX_UNITS = 20_000
 CACHE_WORDS = 400_000
+#: The model is fitted on so many labelled rows at most (about; those with the least hash of their id), so that their
+#: labels can be sent to every task and no text is shuffled.
+MAX_LABELLED = 100_000
 EVIDENCE_BINS, BIN_WIDTH = 400, 0.25
 EDGE = ".,;:!?\"'()[]|%#*&$-"
 
@@ -219,9 +222,14 @@ def _extreme_value(labelled: DataFrame, model: ToxicModel) -> tuple[float, float
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """Fit on the labelled rows whose crc32(id as text) mod ``folds`` is not ``fold`` (all of them if fold is None)."""
-    usable = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
-    learn = docs if fold is None else docs.where(id_crc_mod(id_col, folds) != fold)
-    return fit(learn.select(F.col(id_col), F.col(text_col)).join(usable, F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("text"), "y"))
+    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    if fold is not None:
+        usable = usable.where(id_crc_mod(id_col, folds) != fold)
+    n = usable.count()
+    if n > MAX_LABELLED:
+        usable = usable.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELLED / n))
+    chosen = usable.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
+    return fit(docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("text"), "y"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = 4, fold: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
