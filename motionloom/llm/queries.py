@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motionloom.llm import grace, packing, pieces, quality, runs, toxicity
+from motionloom.llm import grace, jaccard, packing, pieces, quality, runs, toxicity
 from motionloom.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -62,6 +62,10 @@ FROM k JOIN documents d ON k.doc_id = d.doc_id
 """
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir), percent=85, words=4)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_documents(table(spark, sf_dir), table(spark, sf_dir, "labels"), folds=4, fold=2, threshold=0.3)
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -72,7 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pieces": op1_pieces, "op3_quality": op3_quality, "op4_grace": op4_grace, "op6_lines": op6_lines, "op8_toxicity": op8_toxicity, "op10_packing": op10_packing}
+    return {"op1_pieces": op1_pieces, "op3_quality": op3_quality, "op4_grace": op4_grace, "op6_lines": op6_lines, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
