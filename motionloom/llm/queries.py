@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motionloom.llm import grace, jaccard, packing, pieces, quality, runs, toxicity
+from motionloom.llm import fingerprints, grace, jaccard, packing, pieces, quality, runs, toxicity
 from motionloom.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,6 +33,10 @@ WINDOW g AS (PARTITION BY t)
 """
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.dedup_lines(table(spark, sf_dir)).select("doc_id", "text", "lines_total", "lines_removed")
 
@@ -76,7 +80,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pieces": op1_pieces, "op3_quality": op3_quality, "op4_grace": op4_grace, "op6_lines": op6_lines, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op10_packing": op10_packing}
+    return {"op1_pieces": op1_pieces, "op3_quality": op3_quality, "op4_grace": op4_grace, "op5_fingerprints": op5_fingerprints, "op6_lines": op6_lines, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
