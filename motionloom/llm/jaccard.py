@@ -9,9 +9,10 @@ signatures of nothing: a similar pair then agrees in SLACK + 1 first-level parts
 SLACK are hollow can leave out its empty subsets (sets with more emit them too).
 
 No group of equal signatures is expanded into pairs. A task keeps one leader for a signature, leaders meet
-once, and each group is a star of candidates. Verified links make components. Only groups that still span
-several components matter further: small ones are compared across components, large ones are first refined by
-independent signatures, round by round, so no link between different texts is lost.
+once, and each group is a star of candidates around the member that shares the most signatures, which in a
+family of near copies is close to their common origin. Verified links make components. Groups that still span
+several components get a second star. What is left after that joins into families, whose intersections are
+counted exactly by products of blocks of their membership matrices, a task for each pair of blocks.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from motionloom.llm.shingles import mix, shingle_set
 
 PARTS, MISS, SLACK = 3, 1, 1
 CHUNK_DOCS, CHUNK_ENTRIES = 16_384, 3_000_000
-#: Groups up to this size are compared across components at once; larger ones are refined first, so many rounds at most.
-SMALL_GROUP, ROUNDS = 24, 3
+#: Stars before the families are counted; documents in a block of a family's matrix; elements in a product.
+ROUNDS, BLOCK_DOCS, BLOCK_ELEMENTS = 2, 1024, 8192
 WORK = "kind int, s long, t long, a long, b long"
 SIGNATURE, STAR, INFO = 0, 1, 2
 
@@ -204,26 +205,69 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Da
     return right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _refined(members: DataFrame, texts: DataFrame, percent: int, words: int, salt: int) -> DataFrame:
-    """Members ``s, id, component`` of large groups under finer keys: the group and an independent signature."""
+def _linked(sets: list[np.ndarray], block: np.ndarray, low: int, high: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of similar sets, one in block ``low`` and one in ``high`` (each pair once where they are the same)."""
+    sizes = np.array([len(x) for x in sets])
+    every = np.concatenate(sets)
+    elements, at = np.unique(every, return_inverse=True)
+    often = np.bincount(at, minlength=len(elements)) > 1
+    column = np.cumsum(often) - 1
+    row = np.repeat(np.arange(len(sets)), sizes)
+    keep = often[at]
+    row, col = row[keep], column[at[keep]]
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    place = np.zeros(len(sets), np.int64)
+    place[left] = np.arange(len(left))
+    other = np.zeros(len(sets), np.int64)
+    other[right] = np.arange(len(right))
+    both = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for k in range(0, int(often.sum()), BLOCK_ELEMENTS):
+        i, j = np.searchsorted(col, [k, k + BLOCK_ELEMENTS])
+        r, c = row[i:j], col[i:j] - k
+        x, y = np.zeros((len(left), BLOCK_ELEMENTS), np.float32), np.zeros((len(right), BLOCK_ELEMENTS), np.float32)
+        m = block[r] == low
+        x[place[r[m]], c[m]] = 1
+        m = block[r] == high
+        y[other[r[m]], c[m]] = 1
+        both += x @ y.T
+    union = sizes[left][:, None] + sizes[right][None, :] - both
+    p, q = np.nonzero(100 * both >= percent * union)
+    p, q = left[p], right[q]
+    return (p[p < q], q[p < q]) if low == high else (p, q)
+
+
+def family_links(members: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """All links ``a, b`` inside families ``family, id``; each pair of blocks of a family is one group of a task."""
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = pairs.select("family", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for group, i, c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                sig = signatures(shingle_set(text, words), percent, salt)
-                for g in group:
-                    key = mix(sig ^ np.array([g]).view(np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), i)), pa.array(np.full(len(key), c))], names=["s", "id", "component"])
+        key, ids, blocks, sets = None, [], [], []
 
-    groups = members.groupBy("id", "component").agg(F.collect_set("s").alias("groups"))
-    return groups.join(texts, "id").select("groups", "id", "component", "text").mapInArrow(run, "s long, id long, component long")
+        def links():
+            p, q = _linked(sets, np.array(blocks), key[1], key[2], percent)
+            i = np.array(ids, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(i[p]), pa.array(i[q])], names=["a", "b"])
 
+        for b in batches:
+            for f, low, high, block, i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != (f, low, high):
+                    if len(sets) > 1:
+                        yield links()
+                    key, ids, blocks, sets = (f, low, high), [], [], []
+                if len(s := shingle_set((text or "").encode(), words)):
+                    ids.append(i)
+                    blocks.append(block)
+                    sets.append(s)
+        if len(sets) > 1:
+            yield links()
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components inside each group ``s``, whose members are few."""
-    grouped = members.groupBy("s").agg(F.collect_set(F.struct("component", "id")).alias("m"))
-    both = grouped.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["component"] != F.col("x.component")) & (y["id"] > F.col("x.id")))).alias("y"))
-    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    keyed = named.join(texts, "id").select("family", "low", "high", "block", "id", "text").repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
+    return keyed.mapInArrow(run, "a long, b long").where("a <> b")
 
 
 def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -243,28 +287,27 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     star = work.where(f"kind = {STAR}").select("s", "a", "b")
     first = info.where("n > 0").groupBy("n", "s", "t").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("z > a").drop("z")
     copies = info.join(first, ["n", "s", "t"]).where("a <> id").select("a", F.col("id").alias("b"))
-    pairs = materialise(star.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = materialise(base.join(ids, "id", "left_semi"), "texts")
-    links = materialise(verified(pairs, texts, percent, words).union(copies), "links")
-    found = connected_components(links, "components")
-    open_groups, salt = star.select("s", F.col("a").alias("id")).union(star.select("s", F.col("b").alias("id"))).distinct(), 0
-    while True:
-        named = open_groups.drop("component") if "component" in open_groups.columns else open_groups
-        named = named.join(found, F.col("id") == F.col("node"), "left").select("s", "id", F.coalesce("component", "id").alias("component"))
-        split = named.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high")
-        members = materialise(named.join(split.select("s", "members"), "s"), "open")
-        large = members.where(F.col("members") > SMALL_GROUP).drop("members")
-        last = salt >= ROUNDS or large.isEmpty()
-        todo = members.drop("members") if last else members.where(F.col("members") <= SMALL_GROUP).drop("members")
-        more = materialise(verified(_cross_pairs(todo), texts, percent, words), "more")
-        if not more.isEmpty():
-            links = links.union(more)
-            found = connected_components(links, "components")
-        if last:
-            break
-        salt += 1
-        open_groups = _refined(large, texts, percent, words, salt).distinct()
+    held = materialise(star.select("s", F.col("a").alias("id")).union(star.select("s", F.col("b").alias("id"))).distinct(), "members")
+    texts = materialise(base.join(held.select("id").distinct(), "id", "left_semi"), "texts")
+    degree = held.groupBy("id").agg(F.count("*").alias("degree"))
+    held = held.join(degree, "id").select("s", "id", F.struct("degree", (-F.col("id")).alias("minus")).alias("rank"))
+    links, found = copies, connected_components(copies, "components")
+    for k in range(ROUNDS):
+        named = held.join(found, F.col("id") == F.col("node"), "left").select("s", "id", "rank", F.coalesce("component", "id").alias("component"))
+        lead = named.groupBy("s").agg(F.max("rank").alias("lead"), F.max_by("component", "rank").alias("own"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
+        both = named.join(lead, "s")
+        pairs = both.where("component <> own").select((-F.col("lead.minus")).alias("a"), F.col("id").alias("b")).distinct()
+        links = links.union(materialise(verified(pairs, texts, percent, words), "links"))
+        found = connected_components(links, "components")
+        # A star has compared its centre with all others, so it leaves the group; one document alone has no pair.
+        held = materialise(both.where("n > 2 and rank <> lead").select("s", "id", "rank"), "members")
+    named = held.join(found, F.col("id") == F.col("node"), "left").select("s", "id", F.coalesce("component", "id").alias("component"))
+    open_groups = named.join(named.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("a")).where("low <> high"), "s")
+    edges = materialise(open_groups.select("a", F.col("id").alias("b")).where("a <> b").distinct(), "open")
+    if not edges.isEmpty():
+        families = connected_components(edges, "families").select(F.col("component").alias("family"), F.col("node").alias("id"))
+        links = links.union(materialise(family_links(families, texts, percent, words), "links"))
+        found = connected_components(links, "components")
     named = info.select("id", "n").join(found, F.col("id") == F.col("node"), "left")
     rows = named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

@@ -65,10 +65,21 @@ def test_similar_sets_share_a_signature(rng):
 def test_components_equal_brute_force(spark, rng, monkeypatch):
     rows = near_copies(rng, 220)
     assert run(spark, rows) == brute(rows)
-    monkeypatch.setattr(jaccard, "SMALL_GROUP", 3)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
     assert run(spark, rows) == brute(rows)
 
 
+def test_matrix_blocks_find_all_links(rng):
+    sets = [np.unique(np.array([rng.randrange(30) for _ in range(rng.randint(15, 40))], np.uint64)) for _ in range(40)]
+    block = np.array([rng.randrange(3) for _ in sets])
+    got = set()
+    for low in range(3):
+        for high in range(low, 3):
+            got |= {tuple(sorted(x)) for x in zip(*(i.tolist() for i in jaccard._linked(sets, block, low, high, 70)), strict=True)}
+    want = {(i, j) for j in range(40) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 70 * len(np.union1d(sets[i], sets[j]))}
+    assert got == want
+
+
 def test_components_of_odd_rows(odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     got = sorted([(str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard.similar_components(odd_docs).collect()], key=str)
