@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motionloom.llm import fingerprints, grace, jaccard, packing, pieces, quality, runs, toxicity
+from motionloom.llm import fingerprints, grace, jaccard, packing, pieces, quality, repeats, runs, toxicity
 from motionloom.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -75,12 +75,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(table(spark, sf_dir), length=100).drop("spans")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir), WORD_MODEL)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pieces": op1_pieces, "op3_quality": op3_quality, "op4_grace": op4_grace, "op5_fingerprints": op5_fingerprints, "op6_lines": op6_lines, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op10_packing": op10_packing}
+    return {"op1_pieces": op1_pieces, "op3_quality": op3_quality, "op4_grace": op4_grace, "op5_fingerprints": op5_fingerprints, "op6_lines": op6_lines, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op9_repeats": op9_repeats, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
