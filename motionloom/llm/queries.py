@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motionloom.llm import fingerprints, grace, jaccard, packing, pieces, quality, repeats, runs, toxicity
+from motionloom.llm import fingerprints, grace, jaccard, lm, packing, pieces, quality, repeats, runs, toxicity
 from motionloom.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +18,10 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir), PIECE_MODEL)
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir), folds=5, fold=1)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir), table(spark, sf_dir, "labels"), folds=5, fold=0, threshold=0.3)
 
@@ -84,7 +88,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pieces": op1_pieces, "op3_quality": op3_quality, "op4_grace": op4_grace, "op5_fingerprints": op5_fingerprints, "op6_lines": op6_lines, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op9_repeats": op9_repeats, "op10_packing": op10_packing}
+    return {"op1_pieces": op1_pieces, "op2_lm": op2_lm, "op3_quality": op3_quality, "op4_grace": op4_grace, "op5_fingerprints": op5_fingerprints, "op6_lines": op6_lines, "op7_jaccard": op7_jaccard, "op8_toxicity": op8_toxicity, "op9_repeats": op9_repeats, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:

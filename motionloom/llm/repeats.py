@@ -378,7 +378,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a row with a smaller id, or earlier in
     the same row; matches lie within one row, overlaps count. Null text counts as empty; rows must have an id (those
     with a null id are returned untouched, first) and an id is expected once: rows that repeat an id take part in
-    an arbitrary order, each judged against the others. ``with_text`` adds the remaining bytes as ``kept binary``.
+    an arbitrary order, each judged against the others. ``with_text`` adds the remaining text as ``kept string``
+    (bytes of a character that lost a part go too).
     An empty table gives no rows. Other columns aren't read.
     """
     spark = docs.sparkSession
@@ -398,20 +399,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     texts = _texts(plain, buckets)
     compared = _compared(found, texts, length, buckets)
     span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
-    fields = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("spans", T.ArrayType(span)), *([("kept", T.BinaryType())] if with_text else [])]
+    fields = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("spans", T.ArrayType(span)), *([("kept", T.StringType())] if with_text else [])]
     schema = T.StructType([T.StructField(id_col, T.LongType()), *(T.StructField(n, t) for n, t in fields)])
     names = schema.names
 
     def batch(rows):
         cols = list(zip(*rows, strict=True))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     def result(i, t, gone):
         spans = spans_of(gone) if gone is not None else []
         kept = t if not spans else np.frombuffer(t, np.uint8)[~gone].tobytes()
         own = (i, len(t), len(t) - len(kept), len(spans), sha256(kept).hexdigest(), [{"from": a, "to": b} for a, b in spans])
-        return (*own, kept) if with_text else own
+        return (*own, kept.decode("utf-8", "ignore")) if with_text else own
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, x, _ = _gathered(batches, SPAN, 3)
