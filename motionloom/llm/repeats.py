@@ -53,9 +53,9 @@ def suffix_array(text) -> list[int]:
         start[i] = s
         members.setdefault(s, set()).add(i)
     before = [-1] * n
-    todo = sorted(members)
-    while todo:
-        g = todo.pop()
+    for g in range(n - 1, -1, -1):  # groups made on the way lie in front of the one that makes them
+        if g not in members:
+            continue
         own = members[g]
         count: dict[int, int] = {}
         for i in sorted(own):
@@ -68,7 +68,6 @@ def suffix_array(text) -> list[int]:
         split: dict[int, dict[int, list[int]]] = {}
         for j, c in count.items():
             split.setdefault(start[j], {}).setdefault(c, []).append(j)
-        fresh = []
         for s, by in split.items():
             rest = members[s]
             for js in by.values():
@@ -80,11 +79,7 @@ def suffix_array(text) -> list[int]:
                 members[at] = set(by[c])
                 for j in by[c]:
                     start[j] = at
-                if at != s:
-                    fresh.append(at)
                 at += len(by[c])
-        if fresh:
-            todo = sorted(set(todo).union(fresh))
     out, front = [-1] * n, list(range(n))
     placed = [False] * n
 
