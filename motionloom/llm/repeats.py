@@ -3,12 +3,11 @@
 Winnowing finds where copies can meet: of every string of LENGTH bytes the least hash of its K-byte grams marks an
 anchor, and equal strings mark the same anchor. Anchors with equal grams form groups, each task sending one row for
 each distinct context (the bytes that strings over the anchor can reach). A context seen before is a repeat as a
-whole. Contexts that differ inside a group are compared string by string: the strings of the group, lined up at the
-anchor, are put in order and each one equal to an earlier one is removed. Everything is judged on the input.
-
-:func:`suffix_array` is the linear grouping construction over Lyndon-prefix groups. In interpreted code it costs too
-much a byte for whole corpora (see the README); it is what :func:`repeats_by_suffix_array` uses, which gives the
-same spans for texts that fit one task.
+whole. Contexts that differ inside a group meet in a suffix array, by the linear grouping construction over
+Lyndon-prefix groups: neighbours in it that share enough symbols have found each other (:func:`sharing`). A symbol is
+WIDTH bytes, cut in step with the anchor, where equal strings lie alike in all contexts of a group; the strings of what
+was found are then compared byte for byte, and each one equal to an earlier one is removed. Everything is judged
+on the input. :func:`repeats_by_suffix_array` does the same on single bytes for texts that fit one task.
 """
 
 from __future__ import annotations
@@ -27,6 +26,8 @@ from motionloom.llm.common import materialise
 from motionloom.llm.shingles import mix, powers, prefix_hash
 
 LENGTH, K = 100, 40
+#: Bytes in a symbol of the suffix array of contexts.
+WIDTH = 8
 CODE = np.random.default_rng(977).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CHUNK_BYTES, BLOCK_BYTES = 48 << 20, 1 << 20
 #: Kinds of blocks: texts, whole contexts that repeat (row, from, to), contexts to compare (row, anchor, from, to).
@@ -97,6 +98,42 @@ def suffix_array(text) -> list[int]:
     return out
 
 
+def sharing(text: np.ndarray, begin: np.ndarray, size: np.ndarray, skew: np.ndarray, length: int) -> np.ndarray:
+    """Which contexts (``size`` bytes of ``text`` from ``begin``) may share a string of ``length`` bytes with another one.
+
+    ``skew`` is the distance from a context's anchor back to its start. Every such string holds as many whole symbols as
+    ``run``, so its suffixes from the first of them are neighbours in the suffix array with that much in common.
+    """
+    width = WIDTH if length >= 12 * WIDTH else 1
+    run = (length - width + 1) // width
+    first = skew % width
+    many = (size - first) // width
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at = np.repeat(begin + first, many) + width * place
+    value = np.zeros(len(at), np.uint64)
+    for k in range(width):
+        value = value << np.uint64(8) | text[at + k].astype(np.uint64)
+    _, symbol = np.unique(value, return_inverse=True)
+    n = len(begin)
+    who = np.repeat(np.arange(n), many)
+    joined = np.insert(symbol + n, np.cumsum(many), np.arange(n))  # each context ends in a symbol of its own
+    owner = np.insert(who, np.cumsum(many), np.arange(n))
+    found = np.zeros(n, bool)
+    if len(joined) <= run:
+        return found
+    order = np.array(suffix_array(joined.tolist()))
+    h = mix(joined.astype(np.uint64))
+    hashes = np.zeros(len(joined), np.uint64)
+    for k in range(run):
+        hashes[: len(h) - run + 1] += h[k : len(h) - run + 1 + k] * (CODE[k % 256] ^ np.uint64(2 * k))
+    hashes[len(h) - run + 1 :] = mix(np.arange(run - 1, dtype=np.uint64), 3)  # too short for a string
+    order = order[order <= len(h) - run]
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    found[owner[order[1:][same]]] = True
+    found[owner[order[:-1][same]]] = True
+    return found
+
+
 def repeats_by_suffix_array(texts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """Spans (from, to) to remove of each text in order, by neighbours in the suffix array that share ``length`` bytes."""
     joined, at = [], []
@@ -344,6 +381,9 @@ def _compared(found: DataFrame, texts: DataFrame, length: int, buckets: int) ->
             yield from strings(text, g, row, at, low, size, begin, own)
 
     def strings(text, g, row, at, low, size, begin, own):
+        own = own[sharing(text, begin[own], size[own], (at - low)[own], length)]
+        if not len(own):
+            return
         many = size[own] - length + 1
         who = np.repeat(own, many)
         step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)

@@ -42,7 +42,7 @@ def corpus(rng, n):
     return rows
 
 
-@pytest.mark.parametrize(("length", "k"), [(20, 8), (10, 10), (7, 2)])
+@pytest.mark.parametrize(("length", "k"), [(20, 8), (10, 10), (7, 2), (97, 30)])
 def test_spans_equal_brute_force(spark, rng, length, k, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", 3000)
     rows = corpus(rng, 120)
