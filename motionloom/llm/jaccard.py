@@ -36,6 +36,8 @@ PARTS, MISS, SLACK = 3, 1, 1
 CHUNK_DOCS, CHUNK_ENTRIES = 16_384, 3_000_000
 #: Stars before the families are counted; documents in a block of a family's matrix; elements in a product.
 ROUNDS, BLOCK_DOCS, BLOCK_ELEMENTS = 2, 1024, 8192
+#: Members of groups that a task holds to drop groups with the same members.
+MEET_ENTRIES = 8_000_000
 WORK = "kind int, s long, t long, a long, b long"
 SIGNATURE, STAR, INFO = 0, 1, 2
 
@@ -106,6 +108,30 @@ def _stars(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sigs[start], leader, np.stack([sigs[other].view(np.int64), lead[other], ids[other]])
 
 
+def _distinct_stars(sigs: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Star rows of entries in order of signature, one group for all signatures that have the same members."""
+    start = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+    size = np.diff(np.append(start, len(sigs)))
+    many = np.repeat(size > 1, size)
+    sigs, ids = sigs[many], ids[many]
+    if not len(sigs):
+        return np.zeros((3, 0), np.int64)
+    order = np.lexsort((ids, sigs))
+    sigs, ids = sigs[order], ids[order]
+    once = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (ids[1:] != ids[:-1])])
+    sigs, ids = sigs[once], ids[once]
+    start = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+    size = np.diff(np.append(start, len(sigs)))
+    key = ids.view(np.uint64)
+    members = np.stack([np.add.reduceat(mix(key, 5), start), np.add.reduceat(mix(key, 6), start), size.astype(np.uint64)])
+    by = np.lexsort(members)
+    first = np.concatenate([[True], (members[:, by[1:]] != members[:, by[:-1]]).any(0)])
+    keep = np.zeros(len(start), bool)
+    keep[by[first]] = True
+    keep = np.repeat(keep, size)
+    return _stars(sigs[keep], ids[keep])[2]
+
+
 def _work_batch(kind, s, t, a, b) -> pa.RecordBatch:
     n = len(s)
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(s), pa.array(np.zeros(n, np.int64) if t is None else t), pa.array(a), pa.array(b)], names=["kind", "s", "t", "a", "b"])
@@ -156,7 +182,7 @@ def candidates(docs: DataFrame, percent: int, words: int, buckets: int) -> DataF
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, ids = [], []
+        sigs, ids, held = [], [], 0
         for b in batches:
             for kind, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if kind == SIGNATURE:
@@ -165,14 +191,21 @@ def candidates(docs: DataFrame, percent: int, words: int, buckets: int) -> DataF
                     ids.append(i)
                 elif kind == STAR:
                     x = np.frombuffer(zstandard.decompress(blob), np.int64).reshape(3, -1)
-                    yield _work_batch(STAR, x[0], None, x[1], x[2])
+                    if held < MEET_ENTRIES:
+                        sigs.append(x[0].view(np.uint64))
+                        ids.append(x[2])
+                        held += x.shape[1]
+                    else:  # beyond the task's memory groups pass as they are
+                        yield _work_batch(STAR, x[0], None, x[1], x[2])
                 else:
                     x = np.frombuffer(zstandard.decompress(blob), np.int64).reshape(-1, 4)
                     yield _work_batch(INFO, x[:, 2].copy(), x[:, 3].copy(), x[:, 0].copy(), x[:, 1].copy())
         if sigs:
             s, i = np.concatenate(sigs), np.concatenate(ids)
+            sigs.clear()
+            ids.clear()
             order = np.argsort(s, kind="stable")
-            _, _, star = _stars(s[order], i[order])
+            star = _distinct_stars(s[order], i[order])
             for k in range(0, star.shape[1], 200_000):
                 x = star[:, k : k + 200_000]
                 yield _work_batch(STAR, x[0].copy(), None, x[1].copy(), x[2].copy())
@@ -287,11 +320,13 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     star = work.where(f"kind = {STAR}").select("s", "a", "b")
     first = info.where("n > 0").groupBy("n", "s", "t").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("z > a").drop("z")
     copies = info.join(first, ["n", "s", "t"]).where("a <> id").select("a", F.col("id").alias("b"))
+    copies = materialise(copies, "copies")
     held = materialise(star.select("s", F.col("a").alias("id")).union(star.select("s", F.col("b").alias("id"))).distinct(), "members")
     texts = materialise(base.join(held.select("id").distinct(), "id", "left_semi"), "texts")
     degree = held.groupBy("id").agg(F.count("*").alias("degree"))
     held = held.join(degree, "id").select("s", "id", F.struct("degree", (-F.col("id")).alias("minus")).alias("rank"))
-    links, found = copies, connected_components(copies, "components")
+    links = copies
+    found = copies.select(F.col("b").alias("node"), F.col("a").alias("component")).union(copies.select("a", "a")).distinct()
     for k in range(ROUNDS):
         named = held.join(found, F.col("id") == F.col("node"), "left").select("s", "id", "rank", F.coalesce("component", "id").alias("component"))
         lead = named.groupBy("s").agg(F.max("rank").alias("lead"), F.max_by("component", "rank").alias("own"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
