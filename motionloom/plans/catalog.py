@@ -84,9 +84,9 @@ def p05_cut(spark, d):
     return series.cut(recordings(spark, d).select("key", "seq", "v"), 2, -3)
 
 
-@query(f"WITH {E_CTE} SELECT key, seq, {r('v - avg(v) OVER (PARTITION BY key)', 'dc_v')} FROM e")
+@query(f"WITH {E_CTE} SELECT key, seq, {r('v - avg(v) OVER (PARTITION BY key)', 'dc_v', 9)} FROM e")
 def p06_dc_remove(spark, d):
-    return rounded(series.centred(recordings(spark, d)).select("key", "seq", "dc_v"))
+    return rounded(series.centred(recordings(spark, d)).select("key", "seq", "dc_v"), 9)
 
 
 @query(f"""WITH {V_CTE}, c AS (SELECT key, seq, v - avg(v) OVER (PARTITION BY key) AS c FROM v), f AS (SELECT *, min(CASE WHEN c > 0 THEN seq END) OVER (PARTITION BY key) AS first FROM c)
@@ -152,9 +152,9 @@ def g03_continuous_frequency(spark, d):
 
 
 @query(f"""WITH {T_CTE}, s AS (SELECT key, i, n, lead(td) OVER (PARTITION BY key ORDER BY seq) - td AS v FROM u0)
-SELECT key, {r('avg(v) * 1000', 'mean_moving_time', 3)} FROM s WHERE i < n - 2 AND i % 2 = 1 GROUP BY key""")
+SELECT key, {r('avg(v) * 1000', 'mean_moving_time', 1)} FROM s WHERE i < n - 2 AND i % 2 = 1 GROUP BY key""")
 def g04_mean_moving_time(spark, d):
-    return rounded(tapping.mean_moving_time(taps(spark, d)), 3)
+    return rounded(tapping.mean_moving_time(taps(spark, d)), 1)
 
 
 @query(f"""WITH {T_CTE} SELECT d0.key, {r('var_pop(d0.td - u0.td) / 1e6', 'score', 3)} FROM d0 JOIN u0 ON d0.key = u0.key AND d0.i - 1 = u0.i AND u0.i < u0.n - 1 WHERE u0.i % 2 = 1 GROUP BY d0.key""")
