@@ -16,7 +16,7 @@ def plain(x):
     if x is None or isinstance(x, float) and math.isnan(x):
         return None
     if isinstance(x, float):
-        return round(x, 5) + 0.0
+        return round(x, 9) + 0.0
     return x
 
 
