@@ -108,8 +108,11 @@ def _stars(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sigs[start], leader, np.stack([sigs[other].view(np.int64), lead[other], ids[other]])
 
 
-def _distinct_stars(sigs: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Star rows of entries in order of signature, one group for all signatures that have the same members."""
+def _distinct_stars(sigs: np.ndarray, ids: np.ndarray, partial: np.ndarray | None) -> np.ndarray:
+    """Star rows of entries in order of signature, one group for all signatures that have the same members.
+
+    Signatures in ``partial`` (sorted) have members that aren't among the entries, so they all stay; None: any may have.
+    """
     start = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
     size = np.diff(np.append(start, len(sigs)))
     many = np.repeat(size > 1, size)
@@ -128,6 +131,7 @@ def _distinct_stars(sigs: np.ndarray, ids: np.ndarray) -> np.ndarray:
     first = np.concatenate([[True], (members[:, by[1:]] != members[:, by[:-1]]).any(0)])
     keep = np.zeros(len(start), bool)
     keep[by[first]] = True
+    keep |= True if partial is None else np.isin(sigs[start], partial)
     keep = np.repeat(keep, size)
     return _stars(sigs[keep], ids[keep])[2]
 
@@ -182,7 +186,13 @@ def candidates(docs: DataFrame, percent: int, words: int, buckets: int) -> DataF
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, ids, held = [], [], 0
+        sigs, ids, held, partial = [], [], 0, np.zeros(0, np.uint64)
+        passed, waiting = [], 0
+
+        def gathered() -> np.ndarray | None:
+            got = np.unique(np.concatenate([partial, *passed]))
+            return got if len(got) <= MEET_ENTRIES else None
+
         for b in batches:
             for kind, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if kind == SIGNATURE:
@@ -196,6 +206,11 @@ def candidates(docs: DataFrame, percent: int, words: int, buckets: int) -> DataF
                         ids.append(x[2])
                         held += x.shape[1]
                     else:  # beyond the task's memory groups pass as they are
+                        if partial is not None:
+                            passed.append(np.unique(x[0].view(np.uint64)))
+                            waiting += len(passed[-1])
+                            if waiting > MEET_ENTRIES:
+                                partial, passed, waiting = gathered(), [], 0
                         yield _work_batch(STAR, x[0], None, x[1], x[2])
                 else:
                     x = np.frombuffer(zstandard.decompress(blob), np.int64).reshape(-1, 4)
@@ -205,7 +220,7 @@ def candidates(docs: DataFrame, percent: int, words: int, buckets: int) -> DataF
             sigs.clear()
             ids.clear()
             order = np.argsort(s, kind="stable")
-            star = _distinct_stars(s[order], i[order])
+            star = _distinct_stars(s[order], i[order], partial if partial is None else gathered())
             for k in range(0, star.shape[1], 200_000):
                 x = star[:, k : k + 200_000]
                 yield _work_batch(STAR, x[0].copy(), None, x[1].copy(), x[2].copy())

@@ -97,3 +97,30 @@ def test_set_sizes(rng):
     for _ in range(300):
         t = "".join(rng.choice("aAb \t\nß\x1c\x85") for _ in range(rng.randint(0, 40)))
         assert len(shingle_set(t.encode())) == len(shingles(t))
+
+
+def test_members_beyond_the_bound_stay_in_their_groups():
+    """Signature s1 has L1, L2 and x1, s2 has L1, L2 and x2; both look alike once x1 and x2 are passed through."""
+    s1, s2 = (np.full(3, s, np.uint64) for s in (11, 12))
+    sigs, ids = np.concatenate([s1[:2], s2[:2]]), np.array([1, 5, 1, 5])
+    groups = lambda partial: {(int(s), i) for s, a, b in jaccard._distinct_stars(sigs, ids, partial).T for i in (int(a), int(b))}
+    assert len(groups(np.zeros(0, np.uint64))) == 2
+    assert groups(np.array([12], np.uint64)) >= {(12, 1), (12, 5)}
+    assert groups(None) == {(11, 1), (11, 5), (12, 1), (12, 5)}
+
+
+def test_pairs_do_not_depend_on_the_memory_bound(spark, rng, monkeypatch):
+    """Every pair of documents that shares a signature shares one in the written groups, whatever a task holds."""
+    rows = near_copies(rng, 220)
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+
+    def pairs():
+        groups = {}
+        for r in jaccard.candidates(docs, 85, 4, 8).where(f"kind = {jaccard.STAR}").select("s", "a", "b").collect():
+            groups.setdefault(r["s"], set()).update((r["a"], r["b"]))
+        return {(i, j) for g in groups.values() for i in g for j in g if i < j}
+
+    want = pairs()
+    for bound in (0, 40, 400):
+        monkeypatch.setattr(jaccard, "MEET_ENTRIES", bound)
+        assert pairs() == want
