@@ -373,7 +373,7 @@ def glottal_instants(x, fs) -> tuple[np.ndarray, np.ndarray]:
     for s in range(0, max(len(x) - size, 1), hop):
         f = x[s : s + size]
         f = f * w[: len(f)]
-        a, _, _ = levinson(np.array([f[: len(f) - k] @ f[k:] for k in range(order + 1)]) + np.append(1e-9, np.zeros(order)), order)
+        a, _, _ = levinson(np.array([f[: len(f) - k] @ f[k:] if k < len(f) else 0.0 for k in range(order + 1)]) + np.append(1e-9, np.zeros(order)), order)
         end = len(x) if s + size + hop > len(x) else s + hop
         res[s:end] = lfilter(a, [1.0], x[max(s - order, 0) : end])[-(end - s) :]
     n = max(int(0.002 * fs) | 1, 3)
@@ -425,9 +425,9 @@ def voice_measures(x, fs) -> dict[str, float]:
     names = [f"mfcc_{k}" for k in range(c.shape[1])]
     return {
         **jitter_shimmer(f0, "Jitter->F0_"), **jitter_shimmer(a0, "Shimmer->A0_"), **harmonics_to_noise(x, fs), **glottis_quotients(close, open_, fs),
-        **noise_excitation(x, fs), **vocal_fold_excitation(x, fs, close), **mode_ratios(x[: 1 << 14]),
+        **noise_excitation(x, fs), **vocal_fold_excitation(x, fs, close), **mode_ratios(x),
         **{f"mean_{n}": float(v) for n, v in zip(names, c.mean(0), strict=True)}, **{f"std_{n}": float(v) for n, v in zip(names, c.std(0), strict=True)},
-        **wavelet_features(f0), "PPE": pitch_period_entropy(f0), "DFA": 1 / (1 + math.exp(-detrended_fluctuation(x))), "RPDE": recurrence_period_entropy(x[: 1 << 14]),
+        **wavelet_features(f0), "PPE": pitch_period_entropy(f0), "DFA": 1 / (1 + math.exp(-detrended_fluctuation(x))), "RPDE": recurrence_period_entropy(x),
         "voiced_ratio": float(np.isfinite(f0).mean()),
     }
 

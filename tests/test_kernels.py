@@ -98,3 +98,17 @@ def test_perturbation_labels():
     m = v.jitter_shimmer(x)
     p = np.percentile(v.tkeo(x), [50, 75, 95])
     assert (m["TKEO_prc75"], m["TKEO_prc95"], m["TKEO_true_prc95"]) == pytest.approx(tuple(p))
+
+
+def test_voice_measures_take_the_whole_signal(monkeypatch):
+    """Modes and return times read all samples, also past the first 16,384; short recordings have results of their own."""
+    x, got = np.random.default_rng(5).normal(size=17_000), {}
+    for name in ("mode_ratios", "recurrence_period_entropy"):
+        monkeypatch.setattr(v, name, lambda y, name=name: got.setdefault(name, len(y)) and ({} if name == "mode_ratios" else 0.0))
+    v.voice_measures(x, 8000)
+    assert got == {"mode_ratios": 17_000, "recurrence_period_entropy": 17_000}
+    monkeypatch.undo()
+    for n in (1, 2, 3, 9, 100, 600):
+        m = v.voice_measures(x[:n], 8000)
+        assert np.isfinite([m[k] for k in m if k.startswith(("mean_", "std_"))]).all()
+    assert np.isfinite([m[k] for k in ("RPDE", "DFA", "HNR_mean", "GNE_mean", "IMF_SNR_SEO")]).all()

@@ -42,3 +42,13 @@ def test_query_equals_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - SLOW))
 def test_other_queries_give_rows(spark, name):
     assert registry.queries()[name](spark, DATA).count() > 0
+
+
+def test_voice_query_computes_its_measures(spark):
+    got = {}
+    for r in registry.queries()["v20_voice_measures"](spark, DATA).collect():
+        got.setdefault(r["key"], {})[r["feature"]] = r["value"]
+    assert sorted(got) == [0, 1]  # suppliers 0 to 7, 8 and 9
+    for k in ("Jitter->F0_abs_dif", "HNR_mean", "GNE_mean", "VFER_mean", "mean_mfcc_0", "DFA", "RPDE", "IMF_SNR_SEO"):
+        assert all(math.isfinite(m[k]) for m in got.values()), k
+    assert all(math.isfinite(got[0][k]) for k in ("PPE", "Ea"))
