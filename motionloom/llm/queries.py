@@ -47,22 +47,17 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH l AS (
-  SELECT doc_id, pos - 1 AS ln, ls[pos] AS line, coalesce(length(ls[pos]), 0) AS c, len(ls) AS total
+  SELECT doc_id, pos AS ln, ls, len(ls) AS total, CAST(length(ls[pos]) + 1 AS BIGINT) AS c
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
-), s AS (
-  SELECT *, lead(line, 1) OVER d AS l1, lead(line, 2) OVER d AS l2, lead(line, 3) OVER d AS l3,
-    c + coalesce(lead(c, 1) OVER d, 0) AS c1, c + coalesce(lead(c, 1) OVER d, 0) + coalesce(lead(c, 2) OVER d, 0) AS c2,
-    c + coalesce(lead(c, 1) OVER d, 0) + coalesce(lead(c, 2) OVER d, 0) + coalesce(lead(c, 3) OVER d, 0) AS c3
-  FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY ln)
-), w AS (
-  SELECT doc_id, ln,
-    CASE WHEN c >= 40 THEN 1 WHEN c1 >= 40 AND ln + 2 <= total THEN 2 WHEN c2 >= 40 AND ln + 3 <= total THEN 3 WHEN c3 >= 40 AND ln + 4 <= total THEN 4 END AS m,
-    CASE WHEN c >= 40 THEN [line] WHEN c1 >= 40 AND ln + 2 <= total THEN [line, l1] WHEN c2 >= 40 AND ln + 3 <= total THEN [line, l1, l2] WHEN c3 >= 40 AND ln + 4 <= total THEN [line, l1, l2, l3] END AS k
-  FROM s
-), r AS (SELECT doc_id, ln, m, row_number() OVER (PARTITION BY k ORDER BY doc_id, ln) AS n FROM w WHERE m IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest(range(ln, ln + m)) AS ln FROM r WHERE n > 1),
+), p AS (SELECT *, CAST(sum(c) OVER (PARTITION BY doc_id ORDER BY ln) AS BIGINT) AS upto FROM l),
+w AS (
+  SELECT x.doc_id, x.ls, x.ln AS low, y.ln AS high FROM p x ASOF JOIN p y ON x.doc_id = y.doc_id AND x.upto - x.c + 40 <= y.upto
+  UNION
+  SELECT y.doc_id, y.ls, x.ln AS low, y.ln AS high FROM p y ASOF JOIN p x ON x.doc_id = y.doc_id AND y.upto - 40 >= x.upto - x.c
+), r AS (SELECT doc_id, low, high, row_number() OVER (PARTITION BY array_to_string(ls[low:high], chr(10)), high - low ORDER BY doc_id, low) AS n FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(range(low, high + 1)) AS ln FROM r WHERE n > 1),
 k AS (
-  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.ln) FILTER (WHERE g.ln IS NULL) AS left_over, max(total) AS lines_total, count(g.ln) AS lines_removed
+  SELECT l.doc_id, string_agg(ls[l.ln], chr(10) ORDER BY l.ln) FILTER (WHERE g.ln IS NULL) AS left_over, max(total) AS lines_total, count(g.ln) AS lines_removed
   FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.ln = g.ln GROUP BY l.doc_id
 )
 SELECT k.doc_id, CASE WHEN lines_removed = 0 THEN text ELSE coalesce(left_over, '') END AS text, lines_total, lines_removed

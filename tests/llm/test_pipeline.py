@@ -48,7 +48,7 @@ def test_stages_in_turn(spark, corpus):
     after = lines(spark, kept, d)
     assert after.columns == columns
     got = sorted([(str(r["doc_id"]), r["text"]) for r in after.collect()], key=str)
-    assert got == [x[:2] for x in lines_brute(before, 40, 4)]
+    assert got == [x[:2] for x in lines_brute(before, 40)]
     one = near(spark, after, d)
     assert one.columns == columns
     before = [(r["doc_id"], r["text"]) for r in after.collect()]
