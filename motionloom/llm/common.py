@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 WORD_RULE = "[^\\x20\\x09-\\x0D]+"
+#: The planner gives sources of unknown size a figure beyond this.
+UNKNOWN_BYTES = 1 << 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -20,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (local tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset in a local session a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
     made = tempfile.mkdtemp(prefix="motionloom-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -49,6 +54,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def input_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of what ``docs`` is read from: file sizes as the planner knows them, or where it doesn't, those of its texts."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    if total < UNKNOWN_BYTES:
+        return total
+    return int(docs.agg(F.sum(F.octet_length(F.col(text_col)))).head()[0] or 0)
+
+
 def id_crc_mod(id_col: str, mod: int):
     """crc32 of the id written as text, modulo ``mod`` (null id: crc32 of the empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod

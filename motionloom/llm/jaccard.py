@@ -8,11 +8,13 @@ first-level part, is a signature, and similar sets share one. SLACK more first-l
 signatures of nothing: a similar pair then agrees in SLACK + 1 first-level parts, and a set in which no more than
 SLACK are hollow can leave out its empty subsets (sets with more emit them too).
 
-No group of equal signatures is expanded into pairs. A task keeps one leader for a signature, leaders meet
-once, and each group is a star of candidates around the member that shares the most signatures, which in a
-family of near copies is close to their common origin. Verified links make components. Groups that still span
-several components get a second star. What is left after that joins into families, whose intersections are
-counted exactly by products of blocks of their membership matrices, a task for each pair of blocks.
+No group of equal signatures is expanded into pairs, and no text moves for a candidate. Every set has a mark, the
+parities of its elements' counts in buckets: marks differ in no more bits than sets do in elements, so few bits
+of difference are a necessary condition of similarity, and one that hardly any other pair meets. A task walks
+through its groups breadth first over the pairs whose marks allow a link and returns a spanning forest, at most one
+pair less than documents. These pairs make families. Each family's texts meet once, and the same walk over their
+sets, with every intersection counted in full, gives a spanning forest of the links. Groups and families beyond
+a task's bound are cut into blocks, and each two blocks are a walk of their own.
 """
 
 from __future__ import annotations
@@ -29,16 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motionloom.llm.common import connected_components, materialise
+from motionloom.llm.common import connected_components, input_bytes, materialise
 from motionloom.llm.shingles import mix, shingle_set
 
 PARTS, MISS, SLACK = 3, 1, 1
 CHUNK_DOCS, CHUNK_ENTRIES = 16_384, 3_000_000
-#: Stars before the families are counted; documents in a block of a family's matrix; elements in a product.
-ROUNDS, BLOCK_DOCS, BLOCK_ELEMENTS = 2, 1024, 8192
+#: Bytes of the input for each bucket of signatures; a task holds one bucket at a time.
+BUCKET_BYTES = 16 << 20
 #: Members of groups that a task holds to drop groups with the same members.
 MEET_ENTRIES = 8_000_000
-WORK = "kind int, s long, t long, a long, b long"
+#: Documents, and elements of their sets, that a walk holds; edges that a task gathers before it returns their forest.
+WALK_DOCS, WALK_ELEMENTS, WALK_EDGES = 4096, 4_000_000, 1_000_000
+#: Least bits of a mark.
+MARK_BITS = 512
+WORK = "kind int, g long, s long, t long, id long, n long, mark binary"
 SIGNATURE, STAR, INFO = 0, 1, 2
 
 
@@ -108,17 +114,19 @@ def _stars(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return sigs[start], leader, np.stack([sigs[other].view(np.int64), lead[other], ids[other]])
 
 
-def _distinct_stars(sigs: np.ndarray, ids: np.ndarray, partial: np.ndarray | None) -> np.ndarray:
-    """Star rows of entries in order of signature, one group for all signatures that have the same members.
+def _group_rows(sigs: np.ndarray, ids: np.ndarray, partial: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (group, member) of entries in order of signature, one group for all signatures that have the same members.
 
-    Signatures in ``partial`` (sorted) have members that aren't among the entries, so they all stay; None: any may have.
+    Signatures in ``partial`` (sorted) have members that aren't among the entries, so they stay groups of their own;
+    None: any may have. Signatures of one member are no group. Groups are named by 64 bits; two that chance to have
+    the same name are compared as one.
     """
     start = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
     size = np.diff(np.append(start, len(sigs)))
     many = np.repeat(size > 1, size)
     sigs, ids = sigs[many], ids[many]
     if not len(sigs):
-        return np.zeros((3, 0), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.lexsort((ids, sigs))
     sigs, ids = sigs[order], ids[order]
     once = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (ids[1:] != ids[:-1])])
@@ -126,27 +134,101 @@ def _distinct_stars(sigs: np.ndarray, ids: np.ndarray, partial: np.ndarray | Non
     start = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
     size = np.diff(np.append(start, len(sigs)))
     key = ids.view(np.uint64)
-    members = np.stack([np.add.reduceat(mix(key, 5), start), np.add.reduceat(mix(key, 6), start), size.astype(np.uint64)])
-    by = np.lexsort(members)
-    first = np.concatenate([[True], (members[:, by[1:]] != members[:, by[:-1]]).any(0)])
-    keep = np.zeros(len(start), bool)
-    keep[by[first]] = True
-    keep |= True if partial is None else np.isin(sigs[start], partial)
+    name = mix(np.add.reduceat(mix(key, 5), start) ^ mix(size.astype(np.uint64), 6))
+    own = np.ones(len(start), bool) if partial is None else np.isin(sigs[start], partial)
+    keep = own.copy()
+    keep[np.unique(name, return_index=True)[1]] = True
+    name = np.where(own, _own_group(sigs[start]), name)
+    keep &= own | (size > 1)
     keep = np.repeat(keep, size)
-    return _stars(sigs[keep], ids[keep])[2]
+    return np.repeat(name, size)[keep].view(np.int64), ids[keep]
 
 
-def _work_batch(kind, s, t, a, b) -> pa.RecordBatch:
-    n = len(s)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(s), pa.array(np.zeros(n, np.int64) if t is None else t), pa.array(a), pa.array(b)], names=["kind", "s", "t", "a", "b"])
+def _own_group(sigs: np.ndarray) -> np.ndarray:
+    return mix(sigs, 7)
+
+
+def mark(s: np.ndarray, least: int = MARK_BITS) -> np.ndarray:
+    """Parities of a set's counts in buckets, two for each element and ``least`` at least, as 64-bit words."""
+    bits = max(least, 1 << (2 * len(s) - 1).bit_length()) if len(s) else least
+    odd = np.bincount((mix(s, 8) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(m: np.ndarray, words: int) -> np.ndarray:
+    """A mark as it would be with fewer buckets."""
+    return m if len(m) == words else np.bitwise_xor.reduce(m.reshape(-1, words), axis=0)
+
+
+def walk(sizes: np.ndarray, marks: list[np.ndarray], percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Spanning forest (index pairs) of the graph of pairs whose marks allow 100 * intersection >= percent * union.
+
+    With ``sets`` the pairs that meet it. Each document is compared with those not yet reached, once.
+    """
+    words = min(len(m) for m in marks)
+    marks = np.stack([folded(m, words) for m in marks])
+    left, front, out = np.arange(1, len(sizes)), [0], []
+    while len(left):
+        if not front:
+            front, left = [int(left[0])], left[1:]
+            continue
+        v = front.pop()
+        a, b = sizes[v], sizes[left]
+        ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+        ok[ok] = np.bitwise_count(marks[left[ok]] ^ marks[v]).sum(axis=1, dtype=np.int64) * (100 + percent) <= (a + b[ok]) * (100 - percent)
+        if sets is not None and ok.any():
+            ok[ok] = _similar(sets[v], [sets[u] for u in left[ok]], percent)
+        near = left[ok].tolist()
+        out += [(v, u) for u in near]
+        front += near
+        left = left[~ok]
+    return out
+
+
+def _similar(s: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets ``others`` are similar to ``s``; none of them is empty."""
+    out, k = [], 0
+    while k < len(others):
+        some, held = [], 0
+        while k < len(others) and (not some or held < WALK_ELEMENTS // 8):
+            some.append(others[k])
+            held += len(others[k])
+            k += 1
+        size = np.array([len(t) for t in some])
+        every = np.concatenate(some)
+        at = np.minimum(np.searchsorted(s, every), len(s) - 1)
+        both = np.add.reduceat((s[at] == every).astype(np.int64), np.cumsum(size) - size)
+        out.append(100 * both >= percent * (len(s) + size - both))
+    return np.concatenate(out)
+
+
+def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs (least id, other) with the same components."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = i = root[up]
+        return i
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return [(a, i) for i in list(root) if (a := find(i)) != i]
+
+
+def _work_batch(kind: int, rows: int, **columns) -> pa.RecordBatch:
+    types = {"g": pa.int64(), "s": pa.int64(), "t": pa.int64(), "id": pa.int64(), "n": pa.int64(), "mark": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), *(pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in types.items())], names=["kind", *types])
 
 
 def candidates(docs: DataFrame, percent: int, words: int, buckets: int) -> DataFrame:
-    """Written table of INFO rows (a: id, b: set size, s and t: digest of the set) and STAR rows (s: signature, a: leader, b: other)."""
+    """Written table of INFO rows (id, n: set size, s and t: digest of the set, mark) and STAR rows (g: group, id: member)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - buckets.bit_length() + 1)
-        seen, sigs, ids, info, entries = set(), [], [], [], 0
+        seen, sigs, ids, info, marks, entries = set(), [], [], [], [], 0
 
         def flush():
             kinds, at, blobs = [], [], []
@@ -156,7 +238,9 @@ def candidates(docs: DataFrame, percent: int, words: int, buckets: int) -> DataF
                 at.append(bucket)
                 blobs.append(blob)
 
-            out(INFO, int(mix(np.array([info[0][0]]).view(np.uint64))[0] >> shift), zstandard.compress(np.array(info, np.int64).tobytes(), 1))
+            size = np.array([len(m) for m in marks], np.int64)
+            plain = b"".join([np.int64(len(info)).tobytes(), np.array(info, np.int64).tobytes(), size.tobytes(), *(m.tobytes() for m in marks)])
+            out(INFO, int(mix(np.array([info[0][0]]).view(np.uint64))[0] >> shift), zstandard.compress(plain, 1))
             if sigs:
                 s, i = np.concatenate(sigs), np.repeat(np.array(ids, np.int64), [len(x) for x in sigs])
                 order = np.argsort(s, kind="stable")
@@ -174,6 +258,7 @@ def candidates(docs: DataFrame, percent: int, words: int, buckets: int) -> DataF
                 s = shingle_set(text, words)
                 digest = [int(x) for x in np.array([mix(s, 101).sum(), mix(s, 102).sum()], np.uint64).view(np.int64)]
                 info.append([i, len(s), *digest])
+                marks.append(mark(s) if len(s) else s)
                 if len(s) and (key := (len(s), *digest)) not in seen:
                     seen.add(key)
                     sigs.append(signatures(s, percent))
@@ -181,141 +266,131 @@ def candidates(docs: DataFrame, percent: int, words: int, buckets: int) -> DataF
                     entries += len(sigs[-1])
                 if len(info) >= CHUNK_DOCS or entries >= CHUNK_ENTRIES:
                     yield flush()
-                    seen, sigs, ids, info, entries = set(), [], [], [], 0
+                    seen, sigs, ids, info, marks, entries = set(), [], [], [], [], 0
         if info:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, ids, held, partial = [], [], 0, np.zeros(0, np.uint64)
-        passed, waiting = [], 0
-
-        def gathered() -> np.ndarray | None:
-            got = np.unique(np.concatenate([partial, *passed]))
-            return got if len(got) <= MEET_ENTRIES else None
-
+        here, held = None, _Bucket(MEET_ENTRIES)
         for b in batches:
-            for kind, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if kind == SIGNATURE:
-                    s, i = _unpack(blob)
-                    sigs.append(s)
-                    ids.append(i)
-                elif kind == STAR:
-                    x = np.frombuffer(zstandard.decompress(blob), np.int64).reshape(3, -1)
-                    if held < MEET_ENTRIES:
-                        sigs.append(x[0].view(np.uint64))
-                        ids.append(x[2])
-                        held += x.shape[1]
-                    else:  # beyond the task's memory groups pass as they are
-                        if partial is not None:
-                            passed.append(np.unique(x[0].view(np.uint64)))
-                            waiting += len(passed[-1])
-                            if waiting > MEET_ENTRIES:
-                                partial, passed, waiting = gathered(), [], 0
-                        yield _work_batch(STAR, x[0], None, x[1], x[2])
-                else:
-                    x = np.frombuffer(zstandard.decompress(blob), np.int64).reshape(-1, 4)
-                    yield _work_batch(INFO, x[:, 2].copy(), x[:, 3].copy(), x[:, 0].copy(), x[:, 1].copy())
-        if sigs:
-            s, i = np.concatenate(sigs), np.concatenate(ids)
-            sigs.clear()
-            ids.clear()
-            order = np.argsort(s, kind="stable")
-            star = _distinct_stars(s[order], i[order], partial if partial is None else gathered())
-            for k in range(0, star.shape[1], 200_000):
-                x = star[:, k : k + 200_000]
-                yield _work_batch(STAR, x[0].copy(), None, x[1].copy(), x[2].copy())
-
-    signed = docs.mapInArrow(sign, "kind int, bucket int, blob binary").repartition("bucket")
+            for kind, bucket, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != here:
+                    yield from held.groups()
+                    here, held = bucket, _Bucket(MEET_ENTRIES)
+                if kind == INFO:
+                    yield _info_batch(zstandard.decompress(blob))
+                elif (passed := held.add(kind, blob)) is not None:
+                    yield passed
+        yield from held.groups()
+
+    signed = docs.mapInArrow(sign, "kind int, bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
     return materialise(signed.mapInArrow(meet, WORK), "partenum")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Those pairs ``a, b`` whose sets have 100 * intersection >= percent * union; ``texts`` has ``id, text``."""
+def _info_batch(plain: bytes) -> pa.RecordBatch:
+    n = int(np.frombuffer(plain, np.int64, 1)[0])
+    x = np.frombuffer(plain, np.int64, 4 * n, 8).reshape(-1, 4)
+    edge = np.concatenate([[0], np.cumsum(np.frombuffer(plain, np.int64, n, 8 + 32 * n))]) * 8 + 8 + 40 * n
+    marks = [plain[i:j] for i, j in zip(edge, edge[1:])]
+    return _work_batch(INFO, n, s=x[:, 2].copy(), t=x[:, 3].copy(), id=x[:, 0].copy(), n=x[:, 1].copy(), mark=marks)
+
+
+class _Bucket:
+    """Entries of one bucket of signatures. Beyond ``bound``, groups of a chunk pass as groups of their signature."""
+
+    def __init__(self, bound: int):
+        self.bound = bound
+        self.sigs, self.ids, self.held, self.partial, self.passed, self.waiting = [], [], 0, np.zeros(0, np.uint64), [], 0
+
+    def gathered(self) -> np.ndarray | None:
+        if self.partial is None:
+            return None
+        got = np.unique(np.concatenate([self.partial, *self.passed]))
+        return got if len(got) <= self.bound else None
+
+    def add(self, kind: int, blob: bytes) -> pa.RecordBatch | None:
+        if kind == SIGNATURE:
+            s, i = _unpack(blob)
+            self.sigs.append(s)
+            self.ids.append(i)
+            return None
+        x = np.frombuffer(zstandard.decompress(blob), np.int64).reshape(3, -1)
+        if self.held < self.bound:
+            self.sigs.append(x[0].view(np.uint64))
+            self.ids.append(x[2])
+            self.held += x.shape[1]
+            return None
+        if self.partial is not None:
+            self.passed.append(np.unique(x[0].view(np.uint64)))
+            self.waiting += len(self.passed[-1])
+            if self.waiting > self.bound:
+                self.partial, self.passed, self.waiting = self.gathered(), [], 0
+        rows = np.unique(np.concatenate([np.stack([x[0], x[1]], 1), np.stack([x[0], x[2]], 1)]), axis=0)
+        return _work_batch(STAR, len(rows), g=_own_group(rows[:, 0].copy().view(np.uint64)).view(np.int64), id=rows[:, 1].copy())
+
+    def groups(self) -> Iterator[pa.RecordBatch]:
+        if not self.sigs:
+            return
+        s, i = np.concatenate(self.sigs), np.concatenate(self.ids)
+        self.sigs, self.ids = [], []
+        order = np.argsort(s, kind="stable")
+        g, member = _group_rows(s[order], i[order], self.gathered())
+        for k in range(0, len(g), 200_000):
+            yield _work_batch(STAR, len(g[k : k + 200_000]), g=g[k : k + 200_000].copy(), id=member[k : k + 200_000].copy())
+
+
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows ``key, id, n, ...`` of keys that have more than one, in blocks of a bounded number of documents and elements.
+
+    A key within the bounds has blocks low = high = 0; else each two of its blocks are a group ``key, low, high``.
+    """
+    of = rows.groupBy(key).agg(F.count("*").alias("docs"), F.sum("n").alias("elements")).where("docs > 1")
+    blocks = F.greatest(F.ceil(F.col("docs") / WALK_DOCS), F.ceil(F.col("elements") / WALK_ELEMENTS)).cast("int")
+    dealt = rows.join(of.select(key, blocks.alias("blocks")), key).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    whole = dealt.where("blocks = 1").select(F.lit(0).alias("low"), F.lit(0).alias("high"), *rows.columns)
+    cut = dealt.where("blocks > 1").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("with <> block")
+    return whole.union(cut.select(F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), *rows.columns))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, s = None, None
-        for b in batches:
-            keep = []
-            for k, (i, left, right) in enumerate(zip(b.column(0).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True)):
-                if last != (i, left):
-                    last, s = (i, left), shingle_set(left, words)
-                t = shingle_set(right, words)
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)) or not len(s):
-                    continue
-                at = np.searchsorted(s, t)
-                both = int((s[np.minimum(at, len(s) - 1)] == t).sum())
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    keep.append(k)
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows)], names=["a", "b"])
-
-    right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def _linked(sets: list[np.ndarray], block: np.ndarray, low: int, high: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of similar sets, one in block ``low`` and one in ``high`` (each pair once where they are the same)."""
-    sizes = np.array([len(x) for x in sets])
-    every = np.concatenate(sets)
-    elements, at = np.unique(every, return_inverse=True)
-    often = np.bincount(at, minlength=len(elements)) > 1
-    column = np.cumsum(often) - 1
-    row = np.repeat(np.arange(len(sets)), sizes)
-    keep = often[at]
-    row, col = row[keep], column[at[keep]]
-    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    place = np.zeros(len(sets), np.int64)
-    place[left] = np.arange(len(left))
-    other = np.zeros(len(sets), np.int64)
-    other[right] = np.arange(len(right))
-    both = np.zeros((len(left), len(right)), np.float32)
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for k in range(0, int(often.sum()), BLOCK_ELEMENTS):
-        i, j = np.searchsorted(col, [k, k + BLOCK_ELEMENTS])
-        r, c = row[i:j], col[i:j] - k
-        x, y = np.zeros((len(left), BLOCK_ELEMENTS), np.float32), np.zeros((len(right), BLOCK_ELEMENTS), np.float32)
-        m = block[r] == low
-        x[place[r[m]], c[m]] = 1
-        m = block[r] == high
-        y[other[r[m]], c[m]] = 1
-        both += x @ y.T
-    union = sizes[left][:, None] + sizes[right][None, :] - both
-    p, q = np.nonzero(100 * both >= percent * union)
-    p, q = left[p], right[q]
-    return (p[p < q], q[p < q]) if low == high else (p, q)
-
-
-def family_links(members: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """All links ``a, b`` inside families ``family, id``; each pair of blocks of a family is one group of a task."""
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    named = pairs.select("family", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "id")
+def _walks(groups: DataFrame, key: str, value: str, percent: int, words: int | None) -> DataFrame:
+    """Pairs ``a, b``: spanning forests of the walks of groups ``key, low, high``; ``value`` is a mark, or with ``words`` a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, blocks, sets = None, [], [], []
-
-        def links():
-            p, q = _linked(sets, np.array(blocks), key[1], key[2], percent)
-            i = np.array(ids, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(i[p]), pa.array(i[q])], names=["a", "b"])
+        at, ids, held, pairs = None, [], [], []
+
+        def walked() -> list[tuple[int, int]]:
+            if len(ids) < 2:
+                return []
+            if words is None:
+                found = walk(np.array([n for n, _ in held]), [np.frombuffer(m, np.uint64) for _, m in held], percent)
+            else:
+                some = [(i, s) for i, (_, t) in zip(ids, held, strict=True) if len(s := shingle_set(t, words))]
+                if len(some) < 2:
+                    return []
+                names, sets = zip(*some, strict=True)
+                return [(names[i], names[j]) for i, j in walk(np.array([len(s) for s in sets]), [mark(s) for s in sets], percent, sets)]
+            return [(ids[i], ids[j]) for i, j in found]
+
+        def batch() -> pa.RecordBatch:
+            rows = _forest(pairs)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for b in batches:
-            for f, low, high, block, i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if key != (f, low, high):
-                    if len(sets) > 1:
-                        yield links()
-                    key, ids, blocks, sets = (f, low, high), [], [], []
-                if len(s := shingle_set((text or "").encode(), words)):
-                    ids.append(i)
-                    blocks.append(block)
-                    sets.append(s)
-        if len(sets) > 1:
-            yield links()
-
-    keyed = named.join(texts, "id").select("family", "low", "high", "block", "id", "text").repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
-    return keyed.mapInArrow(run, "a long, b long").where("a <> b")
+            for g, low, high, i, n, v in zip(*(c.to_pylist() for c in [*b.columns[:5], b.column(5).cast(pa.binary())]), strict=True):
+                if at != (g, low, high):
+                    pairs += walked()
+                    at, ids, held = (g, low, high), [], []
+                    if len(pairs) > WALK_EDGES:
+                        yield batch()
+                        pairs = []
+                ids.append(i)
+                held.append((n, v))
+        pairs += walked()
+        if pairs:
+            yield batch()
+
+    keyed = groups.select(key, "low", "high", "id", "n", value).repartition(key, "low", "high").sortWithinPartitions(key, "low", "high", "id")
+    return keyed.mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -323,41 +398,28 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
 
     Rows link when 100 * intersection >= ``percent`` * union of their sets of ``words``-word shingles (A-Z lower-cased,
     ASCII white space separates; fewer words are one shingle). Null and empty texts have no shingle and are linked
-    with nothing. Rows with a null id have a null component and link nothing; rows that repeat an id are one
-    node. Other columns aren't read. An empty table gives no rows.
+    with nothing; texts of any length are read whole. Rows with a null id have a null component and link nothing; rows
+    that repeat an id are one node, whose links are those of all its texts. Ids are whole numbers, or text that casts
+    to them (other text counts as null). Ties (equal sets) are links. Other columns aren't read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     if buckets is None:
-        buckets = 1 << max(6, math.ceil(math.log2(2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        buckets = 1 << max(6, math.ceil(math.log2(max(1, input_bytes(docs, text_col) / BUCKET_BYTES))))
+    base = docs.select(F.expr(f"try_cast(`{id_col}` AS long)").alias("id"), F.col(text_col).alias("text"))
     work = candidates(base.where("id is not null"), percent, words, buckets)
-    info = work.where(f"kind = {INFO}").select(F.col("a").alias("id"), F.col("b").alias("n"), "s", "t")
-    star = work.where(f"kind = {STAR}").select("s", "a", "b")
+    info = work.where(f"kind = {INFO}").select("id", "n", "s", "t")
     first = info.where("n > 0").groupBy("n", "s", "t").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("z > a").drop("z")
-    copies = info.join(first, ["n", "s", "t"]).where("a <> id").select("a", F.col("id").alias("b"))
-    copies = materialise(copies, "copies")
-    held = materialise(star.select("s", F.col("a").alias("id")).union(star.select("s", F.col("b").alias("id"))).distinct(), "members")
-    texts = materialise(base.join(held.select("id").distinct(), "id", "left_semi"), "texts")
-    degree = held.groupBy("id").agg(F.count("*").alias("degree"))
-    held = held.join(degree, "id").select("s", "id", F.struct("degree", (-F.col("id")).alias("minus")).alias("rank"))
-    links = copies
-    found = copies.select(F.col("b").alias("node"), F.col("a").alias("component")).union(copies.select("a", "a")).distinct()
-    for k in range(ROUNDS):
-        named = held.join(found, F.col("id") == F.col("node"), "left").select("s", "id", "rank", F.coalesce("component", "id").alias("component"))
-        lead = named.groupBy("s").agg(F.max("rank").alias("lead"), F.max_by("component", "rank").alias("own"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-        both = named.join(lead, "s")
-        pairs = both.where("component <> own").select((-F.col("lead.minus")).alias("a"), F.col("id").alias("b")).distinct()
-        links = links.union(materialise(verified(pairs, texts, percent, words), "links"))
-        found = connected_components(links, "components")
-        # A star has compared its centre with all others, so it leaves the group; one document alone has no pair.
-        held = materialise(both.where("n > 2 and rank <> lead").select("s", "id", "rank"), "members")
-    named = held.join(found, F.col("id") == F.col("node"), "left").select("s", "id", F.coalesce("component", "id").alias("component"))
-    open_groups = named.join(named.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("a")).where("low <> high"), "s")
-    edges = materialise(open_groups.select("a", F.col("id").alias("b")).where("a <> b").distinct(), "open")
-    if not edges.isEmpty():
-        families = connected_components(edges, "families").select(F.col("component").alias("family"), F.col("node").alias("id"))
-        links = links.union(materialise(family_links(families, texts, percent, words), "links"))
-        found = connected_components(links, "components")
+    copies = materialise(info.join(first, ["n", "s", "t"]).where("a <> id").select("a", F.col("id").alias("b")), "copies")
+    marks = work.where(f"kind = {INFO} and n > 0").select("id", "n", "mark")
+    # One of equal sets stands for all in the groups, but an id with several sets stands for itself.
+    several = info.groupBy("id").agg(F.min(F.struct("n", "s", "t")).alias("x"), F.max(F.struct("n", "s", "t")).alias("y")).where("x <> y").select(F.col("id").alias("b"))
+    stands = copies.join(several, "b", "left_anti").select(F.col("b").alias("id"), "a")
+    groups = work.where(f"kind = {STAR}").select("g", "id").join(stands, "id", "left").select("g", F.coalesce("a", "id").alias("id")).distinct()
+    allowed = materialise(_walks(_blocks(groups.join(marks, "id"), "g"), "g", "mark", percent, None), "allowed")
+    families = connected_components(allowed, "families").select(F.col("component").alias("family"), F.col("node").alias("id"))
+    of = families.join(marks.drop("mark"), "id")
+    members = materialise(_blocks(of, "family"), "members")
+    links = _walks(members.join(base, "id"), "family", "text", percent, words)
+    found = connected_components(links.union(copies), "components")
     named = info.select("id", "n").join(found, F.col("id") == F.col("node"), "left")
     rows = named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

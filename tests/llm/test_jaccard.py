@@ -65,19 +65,42 @@ def test_similar_sets_share_a_signature(rng):
 def test_components_equal_brute_force(spark, rng, monkeypatch):
     rows = near_copies(rng, 220)
     assert run(spark, rows) == brute(rows)
-    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    for name, few in (("WALK_DOCS", 7), ("WALK_ELEMENTS", 300), ("WALK_EDGES", 5), ("CHUNK_DOCS", 20), ("MEET_ENTRIES", 30)):
+        monkeypatch.setattr(jaccard, name, few)
     assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, percent=60, words=2) == [(i, n, c) for (i, n, _), (_, _, c) in zip(brute2(rows), brute2(rows), strict=True)]
 
 
-def test_matrix_blocks_find_all_links(rng):
-    sets = [np.unique(np.array([rng.randrange(30) for _ in range(rng.randint(15, 40))], np.uint64)) for _ in range(40)]
-    block = np.array([rng.randrange(3) for _ in sets])
-    got = set()
-    for low in range(3):
-        for high in range(low, 3):
-            got |= {tuple(sorted(x)) for x in zip(*(i.tolist() for i in jaccard._linked(sets, block, low, high, 70)), strict=True)}
-    want = {(i, j) for j in range(40) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 70 * len(np.union1d(sets[i], sets[j]))}
-    assert got == want
+def brute2(rows):
+    global shingles
+    own, four = shingles, lambda t, k=2: own(t, k)
+    shingles = four
+    try:
+        return brute(rows, 60)
+    finally:
+        shingles = own
+
+
+def some_sets(rng, n):
+    base = [rng.getrandbits(63) for _ in range(60)]
+    return [np.unique(np.array([x if rng.random() < 0.93 else rng.getrandbits(63) for x in base], np.uint64)) for _ in range(n)]
+
+
+def test_marks_differ_in_no_more_bits_than_sets_in_elements(rng):
+    sets = some_sets(rng, 30) + [np.unique(np.array([rng.getrandbits(63) for _ in range(rng.randint(1, 3000))], np.uint64)) for _ in range(20)]
+    for s in sets:
+        for t in sets:
+            words = min(len(jaccard.mark(s)), len(jaccard.mark(t)))
+            bits = int(np.bitwise_count(jaccard.folded(jaccard.mark(s), words) ^ jaccard.folded(jaccard.mark(t), words)).sum())
+            assert bits <= len(np.setxor1d(s, t))
+
+
+def test_walks_span_what_links_connect(rng):
+    sets = some_sets(rng, 120)
+    edges = jaccard.walk(np.array([len(s) for s in sets]), [jaccard.mark(s) for s in sets], 80, sets)
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    assert {tuple(sorted(e)) for e in edges} <= set(links) and len(links) > len(edges)
+    assert sorted(jaccard._forest(edges)) == sorted(jaccard._forest(links)) and len(edges) == len(jaccard._forest(links))
 
 
 def test_components_of_odd_rows(odd_docs, no_docs):
@@ -103,10 +126,11 @@ def test_members_beyond_the_bound_stay_in_their_groups():
     """Signature s1 has L1, L2 and x1, s2 has L1, L2 and x2; both look alike once x1 and x2 are passed through."""
     s1, s2 = (np.full(3, s, np.uint64) for s in (11, 12))
     sigs, ids = np.concatenate([s1[:2], s2[:2]]), np.array([1, 5, 1, 5])
-    groups = lambda partial: {(int(s), i) for s, a, b in jaccard._distinct_stars(sigs, ids, partial).T for i in (int(a), int(b))}
+    own = lambda s: int(jaccard._own_group(np.array([s], np.uint64)).view(np.int64)[0])
+    groups = lambda partial: set(zip(*(x.tolist() for x in jaccard._group_rows(sigs, ids, partial)), strict=True))
     assert len(groups(np.zeros(0, np.uint64))) == 2
-    assert groups(np.array([12], np.uint64)) >= {(12, 1), (12, 5)}
-    assert groups(None) == {(11, 1), (11, 5), (12, 1), (12, 5)}
+    assert groups(np.array([12], np.uint64)) >= {(own(12), 1), (own(12), 5)}
+    assert groups(None) == {(own(11), 1), (own(11), 5), (own(12), 1), (own(12), 5)}
 
 
 def test_pairs_do_not_depend_on_the_memory_bound(spark, rng, monkeypatch):
@@ -116,11 +140,19 @@ def test_pairs_do_not_depend_on_the_memory_bound(spark, rng, monkeypatch):
 
     def pairs():
         groups = {}
-        for r in jaccard.candidates(docs, 85, 4, 8).where(f"kind = {jaccard.STAR}").select("s", "a", "b").collect():
-            groups.setdefault(r["s"], set()).update((r["a"], r["b"]))
+        for r in jaccard.candidates(docs, 85, 4, 8).where(f"kind = {jaccard.STAR}").select("g", "id").collect():
+            groups.setdefault(r["g"], set()).add(r["id"])
         return {(i, j) for g in groups.values() for i in g for j in g if i < j}
 
     want = pairs()
     for bound in (0, 40, 400):
         monkeypatch.setattr(jaccard, "MEET_ENTRIES", bound)
         assert pairs() == want
+
+
+def test_an_id_with_several_texts_has_the_links_of_all(spark):
+    w = [f"w{k}" for k in range(60)]
+    a, b = " ".join(w), " ".join(x + "z" for x in w)
+    rows = [(3, b), (5, a), (5, b), (8, a + " end"), (9, "other"), (9, None), (12, ""), ("x", a)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(spark.createDataFrame([(str(i), t) for i, t in rows], "doc_id string, text string")).collect()}
+    assert got == {3: 3, 5: 3, 8: 3, 9: 9, 12: 12, None: None}
