@@ -407,21 +407,24 @@ def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_co
     base = docs.select(F.expr(f"try_cast(`{id_col}` AS long)").alias("id"), F.col(text_col).alias("text"))
     work = candidates(base.where("id is not null"), percent, words, buckets)
     info = work.where(f"kind = {INFO}").select("id", "n", "s", "t")
-    first = info.where("n > 0").groupBy("n", "s", "t").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("z > a").drop("z")
-    copies = materialise(info.join(first, ["n", "s", "t"]).where("a <> id").select("a", F.col("id").alias("b")), "copies")
+    # written before it is joined: the join's own exchange can then be split where one set has very many copies
+    first = materialise(info.where("n > 0").groupBy("n", "s", "t").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("z > a").drop("z"), "first")
+    copies = materialise(info.join(first, ["n", "s", "t"]).where("a <> id").select("a", F.col("id").alias("b")).distinct(), "copies")
     marks = work.where(f"kind = {INFO} and n > 0").select("id", "n", "mark")
-    # One of equal sets stands for all in the groups, but an id with several sets stands for itself.
-    several = info.groupBy("id").agg(F.min(F.struct("n", "s", "t")).alias("x"), F.max(F.struct("n", "s", "t")).alias("y")).where("x <> y").select(F.col("id").alias("b"))
-    stands = copies.join(several, "b", "left_anti").select(F.col("b").alias("id"), "a")
+    # One of equal sets stands for all, but an id with several sets stands for itself and is linked to their copies.
+    sets = info.groupBy("id").agg(F.min(F.struct("n", "s", "t")).alias("x"), F.max(F.struct("n", "s", "t")).alias("y"))
+    several = materialise(sets.where("x <> y").select("id"), "several")
+    stands = copies.select(F.col("b").alias("id"), "a").join(several, "id", "left_anti")
+    bound = copies.join(several.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
     groups = work.where(f"kind = {STAR}").select("g", "id").join(stands, "id", "left").select("g", F.coalesce("a", "id").alias("id")).distinct()
     allowed = materialise(_walks(_blocks(groups.join(marks, "id"), "g"), "g", "mark", percent, None), "allowed")
     families = connected_components(allowed, "families").select(F.col("component").alias("family"), F.col("node").alias("id"))
     of = families.join(marks.drop("mark"), "id")
     members = materialise(_blocks(of, "family"), "members")
     links = _walks(members.join(base, "id"), "family", "text", percent, words)
-    found = connected_components(links.union(copies), "components")
-    named = info.select("id", "n").join(found, F.col("id") == F.col("node"), "left")
-    rows = named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    found = connected_components(links.union(bound), "components")
+    named = info.select("id", "n").join(stands, "id", "left").select("id", "n", F.coalesce("a", "id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left")
+    rows = named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
     names = rows.columns
 
