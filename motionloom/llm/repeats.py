@@ -6,7 +6,8 @@ each distinct context (the bytes that strings over the anchor can reach). A cont
 whole. Contexts that differ inside a group meet in a suffix array, by the linear grouping construction over
 Lyndon-prefix groups: neighbours in it that share enough symbols have found each other (:func:`sharing`). A symbol is
 WIDTH bytes, cut in step with the anchor, where equal strings lie alike in all contexts of a group; the strings of what
-was found are then compared byte for byte, and each one equal to an earlier one is removed. Everything is judged
+was found are then grouped by hash and compared byte for byte, and each one equal to an earlier one is removed. Whole
+contexts are the same when their grams and their own bytes have equal hashes, of 64 bits each. Everything is judged
 on the input. :func:`repeats_by_suffix_array` does the same on single bytes for texts that fit one task.
 """
 
@@ -18,7 +19,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,6 +205,28 @@ def _unblob(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(x).reshape(n, -1).view(np.int64)
 
 
+def same_bytes(text: np.ndarray, x: np.ndarray, y: np.ndarray, length: int) -> bool:
+    """Whether the strings at ``x`` (ascending) equal those at ``y``; where both move on by one, only one byte is new."""
+    if not len(x):
+        return True
+    on = np.concatenate([[False], (np.diff(x) == 1) & (np.diff(y) == 1)])
+    if (text[x + length - 1] != text[y + length - 1]).any():
+        return False
+    x, y = x[~on], y[~on]
+    return not any((text[x + k] != text[y + k]).any() for k in range(length - 1))
+
+
+def _seen_before(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Which strings stand earlier in their group, by their bytes: for strings whose hashes lied."""
+    plain, seen = text.tobytes(), set()
+    out = np.zeros(len(at), bool)
+    for k, (i, g) in enumerate(zip(at.tolist(), group.tolist(), strict=True)):
+        key = (g, plain[i : i + length])
+        out[k] = key in seen
+        seen.add(key)
+    return out
+
+
 def _cut(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], [c[order] for c in columns]
@@ -396,6 +419,10 @@ def _compared(found: DataFrame, texts: DataFrame, length: int, buckets: int) ->
         order = np.argsort(h, kind="stable")  # contexts are in order of row and position already
         again = np.zeros(len(h), bool)
         again[order[1:]] = h[order[1:]] == h[order[:-1]]
+        before = np.full(len(h), -1)
+        before[order[1:]] = s[order[:-1]]
+        if not same_bytes(part, s[again], before[again], length):
+            again = _seen_before(part, s, g[who], length)
         # runs of strings of one context that repeat are one span
         first = again & ~np.concatenate([[False], again[:-1] & (step[1:] > 0)])
         last = again & ~np.concatenate([again[1:] & (step[1:] > 0), [False]])
@@ -407,47 +434,81 @@ def _compared(found: DataFrame, texts: DataFrame, length: int, buckets: int) ->
     return materialise(asked.repartition("bucket").mapInArrow(send, BLOCKS).repartition("bucket").mapInArrow(compare, BLOCKS), "compared")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, with_text: bool = False) -> DataFrame:
+def _ordered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """``row`` (place in the order), ``text`` and the struct ``doc`` of all columns of rows with an id; ids repeat less than the number.
+
+    An id that repeats is numbered through in order of text.
+    """
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+    many = materialise(base.groupBy("row").agg(F.count("*").alias("n")).where("n > 1"), "again")
+    most = many.agg(F.max("n")).first()[0] or 1
+    if most == 1:
+        return base, 1
+    again = base.join(many.select("row"), "row", "left_semi").withColumn("copy", F.row_number().over(Window.partitionBy("row").orderBy("text")) - 1)
+    every = base.join(many, "row", "left_anti").withColumn("copy", F.lit(0)).unionByName(again)
+    return every.select((F.col("row") * most + F.col("copy")).alias("row"), "text", "doc"), most
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Removed spans of every row: ``id_col, n_bytes, n_removed, n_spans long, kept_sha256 string, spans array<struct<from,to>>``.
 
     A byte goes if a string of ``length`` bytes over it also starts earlier: in a row with a smaller id, or earlier in
-    the same row; matches lie within one row, overlaps count. Null text counts as empty; rows must have an id (those
-    with a null id are returned untouched, first) and an id is expected once: rows that repeat an id take part in
-    an arbitrary order, each judged against the others. ``with_text`` adds the remaining text as ``kept string``
-    (bytes of a character that lost a part go too).
-    An empty table gives no rows. Other columns aren't read.
+    the same row; matches lie within one row, overlaps count. Null text counts as empty; rows with a null id are
+    returned untouched, first; rows that repeat an id take part in order of text, nulls first, each judged against
+    the others. Ids are whole numbers. Texts of any length are read whole. An empty table gives no rows. Other
+    columns aren't read.
+    """
+    rows, most = _ordered(docs.select(id_col, text_col), id_col, text_col)
+    done = _removed(rows.select("row", "text"), length, k, buckets, False)
+    none = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("row"), F.col(text_col).alias("text")).mapInArrow(_untouched, done.schema)
+    named = F.floor(F.col("row") / most).cast("long") if most > 1 else F.col("row")
+    return done.union(none).select(named.alias(id_col), *done.columns[1:])
+
+
+def drop_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """``docs`` with the spans of :func:`repeated_spans` gone from ``text_col``; every row stays, with all its columns.
+
+    Bytes of a character that lost a part go too. Rows with a null id or text stay as they are, also where the id repeats.
     """
-    spark = docs.sparkSession
+    rows, _ = _ordered(docs, id_col, text_col)
+    left = _removed(rows.select("row", "text"), length, k, buckets, True).select(F.col("row").alias("of"), "kept")
+    rest = rows.select("row", F.struct(*[(F.col("text").isNotNull().cast("string") if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns]).alias("doc"))
+    joined = rest.join(left, F.col("row") == F.col("of"))
+    text = F.when(F.col("doc").getField(text_col) == "true", F.col("kept"))
+    new = joined.select(*[text.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])
+    return new.union(docs.where(F.col(id_col).isNull()))
+
+
+SPANS = T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))
+FIELDS = [("row", T.LongType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("spans", SPANS)]
+ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.string()]
+
+
+def _result(row: int | None, t: bytes, gone: np.ndarray | None, with_text: bool) -> tuple:
+    spans = spans_of(gone) if gone is not None else []
+    kept = t if not spans else np.frombuffer(t, np.uint8)[~gone].tobytes()
+    own = (row, len(t), len(t) - len(kept), len(spans), sha256(kept).hexdigest(), [{"from": a, "to": b} for a, b in spans])
+    return (*own, kept.decode("utf-8", "ignore")) if with_text else own
+
+
+def _results(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW)], names=[*(n for n, _ in FIELDS), *["kept"] * (len(rows[0]) - len(FIELDS))])
+
+
+def _untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            yield _results([_result(None, t or b"", None, False) for t in b.column(1).cast(pa.binary()).to_pylist()])
+
+
+def _removed(plain: DataFrame, length: int, k: int, buckets: int | None, with_text: bool) -> DataFrame:
+    """FIELDS of every row of ``row, text`` (``row`` once each), and the remaining text as ``kept`` if asked for."""
     if buckets is None:
-        buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    base = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
-    plain = base.where("row is not null")
-    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
-        again = plain.groupBy("row").agg(F.sort_array(F.collect_list("text")).alias("t"), F.count("*").alias("n")).where("n > 1")
-        raise_ids = materialise(again.select("row", F.posexplode(F.concat("t", F.array_repeat(F.lit(None).cast("string"), F.col("n").cast("int") - F.size("t"))))), "again").select("row", F.col("pos").alias("copy"), F.col("col").alias("text"))
-        once = plain.join(again.select("row"), "row", "left_anti").select("row", F.lit(0).alias("copy"), "text")
-        most = raise_ids.agg(F.max("copy")).first()[0] + 1
-        plain = once.union(raise_ids).select((F.col("row") * most + F.col("copy")).alias("row"), "text")
-    else:
-        most = 1
+        buckets = max(64, 2 * int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = _find(plain, length, k, buckets)
     texts = _texts(plain, buckets)
     compared = _compared(found, texts, length, buckets)
-    span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
-    fields = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("spans", T.ArrayType(span)), *([("kept", T.StringType())] if with_text else [])]
-    schema = T.StructType([T.StructField(id_col, T.LongType()), *(T.StructField(n, t) for n, t in fields)])
-    names = schema.names
-
-    def batch(rows):
-        cols = list(zip(*rows, strict=True))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-
-    def result(i, t, gone):
-        spans = spans_of(gone) if gone is not None else []
-        kept = t if not spans else np.frombuffer(t, np.uint8)[~gone].tobytes()
-        own = (i, len(t), len(t) - len(kept), len(spans), sha256(kept).hexdigest(), [{"from": a, "to": b} for a, b in spans])
-        return (*own, kept.decode("utf-8", "ignore")) if with_text else own
+    schema = T.StructType([T.StructField(n, t) for n, t in [*FIELDS, *([("kept", T.StringType())] if with_text else [])]])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, x, _ = _gathered(batches, SPAN, 3)
@@ -461,18 +522,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
                     np.add.at(edge, x[1, i:j], 1)
                     np.add.at(edge, x[2, i:j], -1)
                     gone = np.cumsum(edge[:-1]) > 0
-                rows.append(result(r // most, t, gone))
+                rows.append(_result(r, t, gone, with_text))
                 size += len(t)
                 if len(rows) >= 5_000 or size > 16 << 20:
-                    yield batch(rows)
+                    yield _results(rows)
                     rows, size = [], 0
         if rows:
-            yield batch(rows)
-
-    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield batch([result(None, t or b"", None) for t in b.column(1).cast(pa.binary()).to_pylist()])
+            yield _results(rows)
 
     every = found.where(f"kind = {SPAN}").union(compared).union(texts)
-    return every.repartition("bucket").mapInArrow(apply, schema).union(base.where("row is null").mapInArrow(untouched, schema))
+    return every.repartition("bucket").mapInArrow(apply, schema)

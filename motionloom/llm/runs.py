@@ -68,8 +68,8 @@ def repeated_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return later.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("m") - 1)))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the lines of repeated runs gone from ``text_col``, and ``lines_total``, ``lines_removed`` behind its columns.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, report: bool = True) -> DataFrame:
+    """``docs`` with the lines of repeated runs gone from ``text_col``; ``report``: with ``lines_total``, ``lines_removed`` behind its columns.
 
     A run is consecutive lines with at least ``min_chars`` characters together, each line's line feed counted; one
     that stands earlier, in the same text or another, is a repeat, and overlaps count. The first occurrence stays:
@@ -86,5 +86,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     left = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
     new = F.when(F.col("gone").isNull(), text).otherwise(left)
-    others = [c for c in docs.columns if c not in ("lines_total", "lines_removed")]
-    return joined.select(*[new.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in others], F.size("lines").cast("long").alias("lines_total"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_removed"))
+    added = [F.size("lines").cast("long").alias("lines_total"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_removed")] if report else []
+    others = [c for c in docs.columns if not report or c not in ("lines_total", "lines_removed")]
+    return joined.select(*[new.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in others], *added)

@@ -62,3 +62,32 @@ def test_spans_of_odd_rows(odd_docs, no_docs):
     assert rows_of(repeats.repeated_spans(odd_docs)) == brute(rows, 100)
     assert rows_of(repeats.repeated_spans(odd_docs, 20, 8)) == brute(rows, 20)
     assert repeats.repeated_spans(no_docs).count() == 0
+
+
+def test_bytes_are_compared(rng):
+    import numpy as np
+
+    text = np.frombuffer(b"abcdefgh--abcdefgx--abcdefgh", np.uint8)
+    assert repeats.same_bytes(text, np.array([20, 21, 22]), np.array([0, 1, 2]), 6)
+    assert not repeats.same_bytes(text, np.array([10, 11, 12]), np.array([0, 1, 2]), 6)
+    assert not repeats.same_bytes(text, np.array([9, 20]), np.array([0, 0]), 6)
+    at = np.arange(len(text) - 5)
+    want = [text[i : i + 6].tobytes() in {text[j : j + 6].tobytes() for j in range(i)} for i in at]
+    assert repeats._seen_before(text, at, np.zeros(len(at), int), 6).tolist() == want
+
+
+def test_repeats_go_and_rows_stay(spark, rng):
+    from pyspark.sql import functions as F
+
+    rows = [(i, t, "s" + str(k)) for k, (i, t) in enumerate(corpus(rng, 60))]
+    rows += [(None, rows[0][1], "none"), (rows[3][0], rows[5][1], "again"), (rows[3][0], rows[3][1], "twice"), (7, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row", F.lit("x")).withColumn("kept", F.lit(1)).repartition(3)
+    got = repeats.drop_repeats(docs, 20, 8)
+    assert got.columns == docs.columns
+    left = got.collect()
+    assert sorted((str(r["doc_id"]), str(r["source"])) for r in left) == sorted((str(i), str(s)) for i, _, s in rows)
+    assert all(r["row"] == "x" and r["kept"] == 1 for r in left)
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert sorted((str(r["doc_id"]), digest(r["text"])) for r in left) == sorted((w[0], w[4]) for w in brute([r[:2] for r in rows], 20))
+    assert {r["doc_id"] for r in left if r["text"] is None} == {7}
+    assert repeats.drop_repeats(docs.limit(0)).count() == 0
