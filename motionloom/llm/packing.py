@@ -10,13 +10,14 @@ its rank within its length.
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,10 +25,24 @@ from pyspark.sql import types as T
 
 from motionloom.llm.common import materialise
 
-CACHE_WORDS = 1_000_000
-BLOCK_CHARS = 4_000_000
-STOP = re.compile(r"(?<=[a-z0-9\xdf-\xf6\xf8-\xff])([.,])(?=\s|$)")
-ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Bytes that a worker's cache of encoded units may take; characters in a block of texts and in a call of the tokenizer.
+CACHE_BYTES = 128 << 20
+BLOCK_CHARS, CALL_CHARS = 8_000_000, 100_000
+#: Texts with other characters than Latin-1, or with what may be a special token, keep their case until they are encoded.
+KEEPS_CASE = r"[^\x{00}-\x{ff}]|<\|"
+STOP = r"([a-z0-9\x{df}-\x{f6}\x{f8}-\x{ff}])([.,])(\s|$)"
+#: The normaliser and pre-tokenizer under which no token spans white space and case is dropped.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+MARK = "\x01"
 
 
 class CapacityTree:
@@ -98,53 +113,86 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> tuple[np.nd
 
 
 class WordTokens:
-    """Ids of whole texts as little-endian 32-bit bytes; the tokenizer drops white space, so words are encoded once."""
+    """Ids of whole texts; where the tokenizer drops white space and never joins what it separates, units are encoded once.
 
-    def __init__(self, path: str):
-        import os
+    That a tokenizer file does so is read from the file: any other than BY_WORDS encodes whole texts.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-
-    @staticmethod
-    def split(text: str) -> list[str]:
-        """Units that the tokenizer would never join, in a form that repeats more often.
-
-        Words lie between white space as the tokenizer's pattern has it: str.split also cuts at four controls, so
-        those texts stay whole. Where all characters are Latin-1, lower-casing early changes nothing that the
-        normaliser doesn't, and a full stop or comma between a letter or digit and white space is a unit by itself.
-        """
-        if any(c in text for c in ODD_SPACE):
-            return [text]
-        if not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return text.split()
-        return STOP.sub(r" \1", text.lower()).split() if "<|" not in text else text.split()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        i = 0
-        while i < len(texts):
-            block, chars = [], 0
-            while i < len(texts) and (not block or chars < BLOCK_CHARS):
-                block.append(self.split(texts[i]))
-                chars += len(texts[i])
-                i += 1
-            every = {w for words in block for w in words}
-            new = [w for w in every if w not in self.words]
-            if len(self.words) + len(new) > CACHE_WORDS:
-                self.words, new = {}, list(every)
-            for k in range(0, len(new), 20_000):
-                some = new[k : k + 20_000]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.words[w] = array("I", e.ids).tobytes()
-            get = self.words.__getitem__
-            for words in block:
-                yield b"".join(map(get, words))
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.by_words = all(rules.get(k) == v for k, v in BY_WORDS.items()) and not rules.get("truncation") and not rules.get("padding")
+        mark = self._direct([MARK])[0]
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.held = {}, 0
+        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, words: list[str]) -> None:
+        """Encode new units; many go into one call, with a mark between them whose id tells them apart."""
+        apart = [w for w in words if self.mark is None or MARK in w]
+        plain = words if not apart else [w for w in words if self.mark is not None and MARK not in w]
+        block = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 3) // CALL_CHARS
+        edge = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(plain)]
+        calls = [plain[i:j] for i, j in zip(edge, edge[1:]) if j > i]
+        order, sizes, pools = [], [self.size], [self.pool]
+        for some, ids in zip(calls, self._direct([f" {MARK} ".join(c) for c in calls]), strict=True):
+            marks = ids == self.mark
+            at = np.flatnonzero(marks)
+            if len(at) != len(some) - 1:
+                apart += some
+                continue
+            order += some
+            sizes.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+            pools.append(ids[~marks])
+        for ids in self._direct(apart):
+            sizes.append(np.array([len(ids)]))
+            pools.append(ids)
+        order += apart
+        self.words.update(zip(order, range(len(self.words), len(self.words) + len(order)), strict=True))
+        self.pool, self.size = np.concatenate(pools), np.concatenate(sizes)
+        self.start = np.cumsum(self.size) - self.size
+        self.held += sum(map(len, order)) * 2 + 150 * len(order) + 4 * sum(map(len, pools[1:]))
+
+    def _block(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        apart = pc.replace_substring_regex(pc.utf8_lower(texts), STOP, r"\1 \2\3")
+        units = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, KEEPS_CASE), texts, apart))
+        coded = units.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if self.held > CACHE_BYTES:
+            self.clear()
+        if new := [w for w in words if w not in self.words]:
+            self._add(new)
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        unit = at[coded.indices.to_numpy(zero_copy_only=False)]
+        size, start = self.size[unit], self.start[unit]
+        end = np.cumsum(size)
+        ids = self.pool[np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
+        edge = np.concatenate([[0], end])[units.offsets.to_numpy() - units.offsets[0].as_py()]
+        for i, j in zip(edge, edge[1:]):
+            yield ids[i:j]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """32-bit ids of each text; null is empty. Blocks bound what is held besides the texts."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            for text in texts:
+                yield self._direct([text.as_py()])[0]
+            return
+        block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK_CHARS
+        edge = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+        for i, j in zip(edge, edge[1:]):
+            if j > i:
+                yield from self._block(texts.slice(i, j - i))
 
 
 _TOKENIZERS: dict[str, WordTokens] = {}
@@ -158,7 +206,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     """
     fields = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("part", T.IntegerType()), ("rank", T.LongType())]
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in fields), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
-    end = int(end_id).to_bytes(4, "little")
+    end = np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _TOKENIZERS:
@@ -166,13 +214,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             rows, take = [], []
-            for k, ids in enumerate(_TOKENIZERS[tokenizer_path].encode([t or "" for t in b.column(1).to_pylist()])):
-                ids += end
-                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    n = len(own) // 4
+            texts = b.column(1).cast(pa.string())
+            for k, ids in enumerate(_TOKENIZERS[tokenizer_path].encode(texts)):
+                ids = np.concatenate([ids, end]).astype("<u4", copy=False)
+                for p, at in enumerate(range(0, len(ids), capacity)):
+                    own = ids[at : at + capacity]
+                    n = len(own)
                     take.append(k)
-                    rows.append((p, at // 4, n, zlib.crc32(own), part, seen[n], *([own] if with_ids else [])))
+                    rows.append((p, at, n, zlib.crc32(own), part, seen[n], *([own.tobytes()] if with_ids else [])))
                     seen[n] += 1
             if rows:
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]

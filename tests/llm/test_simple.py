@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from motionloom.llm import grace, packing, pieces
@@ -149,4 +150,23 @@ def test_units_of_the_word_tokenizer(rng):
     pool = ["It's", "x.", "DON'T,", "H̱", "İ.", "Σας", "<|endoftext|>", "a,b.", "!.", "9.", "ß,", "é", "\x1c", "\x85", "\xa0", " ", "\n", "İ", ".", "漢字.", "İ"]
     for _ in range(2000):
         s = "".join(rng.choice(pool) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 8)))
-        assert list(memoryview(next(w.encode([s]))).cast("I")) == t.encode(s, add_special_tokens=False).ids, repr(s)
+        assert next(w.encode(pa.array([s]))).tolist() == t.encode(s, add_special_tokens=False).ids, repr(s)
+
+
+def test_many_units_in_blocks(rng, monkeypatch):
+    from tokenizers import Tokenizer
+
+    for name, few in (("BLOCK_CHARS", 50), ("CALL_CHARS", 20), ("CACHE_BYTES", 2000)):
+        monkeypatch.setattr(packing, name, few)
+    texts = [None if rng.random() < 0.1 else " ".join(rng.choice(["one", "Two,", "x\x01", "ÀB.", "漢", ""]) + str(rng.randrange(30)) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    want = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in packing.WordTokens(WORDS).encode(pa.array(texts))] == want
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    w, texts = packing.WordTokens(path), ["  Two  spaces\n\nand lines ", "", "a b<|endoftext|> c"]
+    assert not w.by_words
+    assert [x.tolist() for x in w.encode(pa.array(texts))] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
