@@ -2,6 +2,7 @@ import hashlib
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from motionloom.llm import toxicity
 from tests.llm.test_jaccard import brute as components
@@ -58,7 +59,7 @@ def test_stages_in_turn(spark, corpus):
     assert left.columns == columns
     before = [(r["doc_id"], r["text"]) for r in one.collect()]
     digests = {w[0]: w[4] for w in repeats_brute(before, 100)}
-    assert {str(r["doc_id"]): hashlib.sha256(r["text"].encode()).hexdigest() for r in left.collect()} == digests
+    assert {str(r["doc_id"]): hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in left.collect()} == digests
     assert pack(spark, left, d).select("doc_id").distinct().count() == left.count()
 
 
@@ -84,3 +85,30 @@ def test_scores_on_held_out_rows(spark, corpus):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs, labels).where("held_out").collect()}
     assert {i for i, p in got.items() if p} == {i for i in got if i in toxic}
+
+
+@pytest.fixture(scope="module")
+def label_dir(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("labels"))
+    spark.createDataFrame([(5, 1, 0), (None, 0, 1), (9, None, None), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+def test_stages_on_odd_rows(spark, odd_docs, no_docs, label_dir):
+    """Null ids and texts, repeated rows, very long texts and clashing columns; every stage keeps rows and columns as it says."""
+    left = {"toxicity": 10, "line_dedup": 10, "jaccard_join": 7, "suffix_dedup": 10}
+    docs = odd_docs
+    for c in ("lines_total", "lines_removed", "component_id", "n_bytes", "row", "kept", "passages", "doc", "of"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, label_dir)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert len(rows) == left[name], name
+        assert all(r[c] == "clash" for r in rows for c in docs.columns[5:]), name
+        assert [r["text"] for r in rows if r["doc_id"] is None] == ["no id here"], name
+        assert [r["text"] for r in rows if r["doc_id"] == 9] == [None], name
+        assert stage(spark, no_docs, label_dir).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, label_dir)
+    assert packed.where("piece = 0").count() == 10
+    assert corpus_pipeline.STAGES[-1][1](spark, no_docs, label_dir).count() == 0
