@@ -21,24 +21,34 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), folds=4, fold=2, threshold=0.3)
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars``, where it has one, of its texts as they are now (null text: as it was)."""
+    return docs.select(*[F.coalesce(F.length("text").cast("long"), F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; every document stays."""
-    left = runs.dedup_lines(docs)
-    return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+    """Later repeats of runs of lines go; every document stays, those with a null id or text too."""
+    return _counted(runs.dedup_lines(docs, report=False))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect (five words, 0.8 or more) the one with the smallest id stays."""
-    found = jaccard.similar_components(docs, percent=80, words=5)
-    return docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that near-duplicate links connect (five words, 0.8 or more) the one with the smallest id stays.
+
+    Rows that repeat an id stay or go together, but of rows that repeat id and text one stays. Rows with a null id, and
+    null or empty texts, stay.
+    """
+    found = materialise(jaccard.similar_components(docs, percent=80, words=5), "near")
+    left = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 100 bytes or more that start earlier go; every document stays."""
-    left = repeats.repeated_spans(docs, length=100, with_text=True).select("doc_id", F.col("kept").alias("text"))
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    joined = left.join(docs.select("doc_id", *rest), "doc_id")
-    return joined.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+    """Passages of 100 bytes or more that start earlier go; every row stays, those with a null or repeated id too."""
+    return _counted(repeats.drop_repeats(docs, length=100))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
