@@ -394,3 +394,103 @@ def gait(x, fs=100.0, distance=None) -> dict[str, float]:
         "avg_stride_time": float(strides.mean()) if len(strides) else float("nan"), "sd_stride_time": float(strides.std()) if len(strides) else float("nan"),
         "step_regularity": a, "stride_regularity": b, "symmetry": s,
     }
+
+
+# feature sets
+
+
+def tremor_features(t, x, fs=100.0, window=256) -> dict[str, float]:
+    """34 features of a magnitude series: 8 of its resampled, filtered spectra, 26 of the series as it is. Undefined ones are NaN."""
+    x = np.asarray(x, float)
+    n, nan = len(x), float("nan")
+    if not n:
+        return {}
+    _, even = resample_mean(t, x, 1 / fs)
+    high, slow = high_pass(even, fs), high_pass(even - even.mean(), fs)
+    out = {}
+    for pre, y, low, top in (("", high, 2.0, 10.0), ("bradykinesia_", slow, 0.0, 4.0)):
+        out[f"{pre}amplitude_by_fft"], out[f"{pre}frequency_by_fft"] = amplitude_fft(y, fs, low, top, window)
+        out[f"{pre}amplitude_by_welch"], out[f"{pre}frequency_by_welch"] = amplitude_welch(y, fs, low, top, window)
+    d, var = x - x.mean(), x.var()
+    _, counts = np.unique(x, return_counts=True)
+    low, high_q = np.quantile(x, [0.0, 0.2])
+    inside = (x >= low) & (x <= high_q)
+    both = inside[1:] & inside[:-1]
+    around = [np.concatenate([np.full(k, np.inf), x[:-k]]) if k > 0 else np.concatenate([x[-k:], np.full(-k, np.inf)]) for k in (*range(1, 6), *range(-5, 0)) if n > abs(k)]
+    power, line = welch(x)[1], np.fft.rfft(x)
+    trend = {(size, f): linear_trend(x, size, f) for size, f in ((5, "min"), (10, "var"), (10, "min"))}
+    at = lambda values, k: float(values[k]) if k < len(values) else nan
+    rest = {
+        "approximate_entropy": approximate_entropy(x),
+        **{f"autocorrelation_lag_{k}": float(d[: n - k] @ d[k:] / ((n - k) * var)) if n > k and var > 0 else nan for k in (8, 9)},
+        **{f"partial_autocorrelation_lag_{k}": pacf(x, k) if var > 0 else nan for k in (3, 5, 6)},
+        "minimum": float(x.min()), "mean": float(x.mean()), "ratio_value_number_to_time_series_length": len(counts) / n,
+        "change_quantiles": float(np.abs(np.diff(x)[both]).mean()) if both.any() else 0.0,
+        "number_peaks": float(np.all([x > a for a in around], axis=0).sum()) if n > 10 else 0.0,
+        "agg_linear_trend_min_chunk_len_5_attr_intercept": trend[5, "min"][0], "agg_linear_trend_var_chunk_len_10_attr_rvalue": trend[10, "var"][1], "agg_linear_trend_min_chunk_len_10_attr_intercept": trend[10, "min"][0],
+        **{f"spkt_welch_density_coeff_{k}": at(power, k) for k in (2, 5, 8)},
+        "percentage_of_reoccurring_datapoints_to_all_datapoints": float(counts[counts > 1].sum()) / n, "abs_energy": float(x @ x), "fft_aggregated_centroid": fft_centroid(x),
+        **{f"fft_coefficient_abs_coeff_{k}": at(np.abs(line), k) for k in (44, 63, 0)}, **{f"fft_coefficient_real_coeff_{k}": at(line.real, k) for k in (0, 23)},
+        "sum_values": float(x.sum()),
+    }
+    return out | {f"magnitude_{k}": v for k, v in rest.items()}
+
+
+def linear_trend(x, size, of) -> tuple[float, float]:
+    """(intercept, correlation) of chunk minima or sample variances against the chunk's number."""
+    chunks = [x[i : i + size] for i in range(0, len(x), size)]
+    y = np.array([c.min() if of == "min" else c.var(ddof=1) for c in chunks if of == "min" or len(c) > 1])
+    k = np.arange(len(y), dtype=float)
+    if len(y) < 2:
+        return float("nan"), float("nan")
+    spread = ((k - k.mean()) ** 2).sum()
+    slope = ((k - k.mean()) * (y - y.mean())).sum() / spread
+    other = ((y - y.mean()) ** 2).sum()
+    return float(y.mean() - slope * k.mean()), float(slope * math.sqrt(spread / other)) if other > 0 else float("nan")
+
+
+def gait_summary(x, fs=100.0, distance=None) -> dict:
+    """The sixteen fields of a walk. ``avg_step_length`` and ``avg_stride_length`` are numbers over distance, as recorded values have it.
+
+    Strides are told apart by side (every other strike); their statistics are the mean of the two sides'.
+    """
+    times, _ = heel_strikes(x, fs)
+    nan, sides = float("nan"), [times[0::2], times[1::2]]
+    steps, strides = np.diff(times).tolist(), [np.diff(s).tolist() for s in sides]
+    mean, sd = lambda v: float(np.mean(v)) if len(v) else nan, lambda v: float(np.std(v)) if len(v) else nan
+    duration, per_side = len(x) / fs, float(np.mean([len(s) for s in sides]))
+    step, stride = mean(steps), float(np.mean([mean(s) for s in strides]))
+    a, b, symmetry = regularity_symmetry(x, fs, step, stride)
+    return {
+        "number_of_steps": len(times), "cadence": len(times) / duration if duration else None, "velocity": distance / duration if distance else None,
+        "avg_step_length": len(times) / distance if distance else None, "avg_stride_length": per_side / distance if distance else None,
+        "step_durations": steps, "avg_step_duration": step, "sd_step_durations": sd(steps), "strides": sides, "stride_durations": strides,
+        "avg_number_of_strides": per_side, "avg_stride_duration": stride, "sd_stride_durations": float(np.mean([sd(s) for s in strides])),
+        "step_regularity": a, "stride_regularity": b, "symmetry": symmetry,
+    }
+
+
+def two_means(x) -> np.ndarray:
+    """Labels 0 (lower) and 1 of the best cut of sorted values into two groups, by squared error."""
+    x = np.asarray(x, float)
+    if len(x) < 2:
+        return np.zeros(len(x), int)
+    order = np.argsort(x, kind="stable")
+    out = np.zeros(len(x), int)
+    out[order] = segments(x[order], 2)
+    return out
+
+
+def walks_and_turns(x, smooth=3) -> tuple[list[list[int]], list[list[int]]]:
+    """(walks, turns): peak positions in runs of one cluster of prominence; walks are the cluster with the largest sample."""
+    x = np.asarray(x, float)
+    p = find_peaks(x)
+    if not len(p):
+        return [], []
+    label = smoothing(two_means(prominences(x, p)), smooth).astype(int)
+    edge = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1], [True]]))
+    groups: tuple[list, list] = ([], [])
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        groups[label[a]].append(p[a:b].tolist())
+    top = [max((x[i] for run in g for i in run), default=-math.inf) for g in groups]
+    return (groups[0], groups[1]) if top[0] > top[1] else (groups[1], groups[0])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,17 +49,40 @@ def nearest_centroid(points: DataFrame, centroids: list[list[float]], column: st
     return points.withColumn("score", near["k"])
 
 
-def nearest_neighbours(queries: DataFrame, training: DataFrame, k: int = 3) -> DataFrame:
-    """Distance-weighted vote of the k nearest of a training set of checked size; exact matches take all weight.
+#: Rows of either side in one block of distances.
+BLOCK_ROWS = 4096
 
-    ``queries`` has ``id, p``; ``training`` has ``tid, q, label``. Each task sees the training rows next to its queries.
+
+def nearest_neighbours(queries: DataFrame, training: DataFrame, k: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Distance-weighted vote of the k nearest training rows; exact matches take all weight, ties go to the lowest ``tid`` and label.
+
+    ``queries`` has ``id, p``; ``training`` has ``tid, q, label``. Both sides are cut into blocks of about ``block_rows``
+    rows; a task holds one block of each, and only its k nearest a query leave it. Nothing is broadcast, no pair is a row.
     """
-    pairs = queries.crossJoin(F.broadcast(training)).withColumn("d", distance(F.col("p"), F.col("q")))
-    near = pairs.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "tid"))).where(F.col("n") <= k)
-    exact = F.min("d").over(Window.partitionBy("id")) == 0
-    weight = F.when(exact, F.when(F.col("d") == 0, 1.0).otherwise(0.0)).otherwise(1 / F.when(F.col("d") == 0, 1.0).otherwise(F.col("d")))
-    votes = near.withColumn("w", weight).groupBy("id", "label").agg(F.sum("w").alias("w"))
-    return votes.groupBy("id").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("predicted"))
+    cuts = [max(1, -(-side.count() // block_rows)) for side in (queries, training)]
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("id", F.col("p").cast("array<double>").alias("p"), F.pmod(F.xxhash64("id"), F.lit(cuts[0])).cast("int").alias("qb")).withColumn("tb", spread(cuts[1]))
+    right = training.select("tid", F.col("q").cast("array<double>").alias("q"), "label", F.pmod(F.xxhash64("tid"), F.lit(cuts[1])).cast("int").alias("tb")).withColumn("qb", spread(cuts[0]))
+    of, tid, label = (dict(df.dtypes)[c] for df, c in ((queries, "id"), (training, "tid"), (training, "label")))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(a) and len(b):
+            b = b.sort_values("tid", ignore_index=True)
+            t = np.stack(b["q"].to_numpy())
+            for i, p in zip(a["id"], a["p"], strict=True):
+                d = np.sqrt(((t - np.asarray(p)) ** 2).sum(axis=1))
+                rows += [(i, d[j], b["tid"][j], b["label"][j]) for j in np.argsort(d, kind="stable")[:k]]
+        return pd.DataFrame(rows, columns=["id", "d", "tid", "label"])
+
+    near = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(nearest, f"id {of}, d double, tid {tid}, label {label}")
+    if cuts[1] > 1:
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "tid"))).where(F.col("n") <= k)
+    exact = near.groupBy("id").agg(F.collect_list(F.struct("d", "label")).alias("r"))
+    votes = exact.select("id", (F.array_min(F.transform("r", lambda x: x["d"])) == 0).alias("exact"), F.explode("r").alias("x"))
+    weight = F.when(F.col("exact"), F.when(F.col("x.d") == 0, 1.0).otherwise(0.0)).otherwise(1 / F.when(F.col("x.d") == 0, 1.0).otherwise(F.col("x.d")))
+    summed = votes.groupBy("id", F.col("x.label").alias("label")).agg(F.sum(weight).alias("w"))
+    return summed.groupBy("id").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("predicted"))
 
 
 def top_observations(importances: DataFrame, top: int = 3) -> DataFrame:
@@ -73,3 +98,56 @@ def importances(matrix: DataFrame, label: str, names: list[str], trees: int = 10
     data = VectorAssembler(inputCols=names, outputCol="features").transform(matrix).select("features", F.col(label).cast("double").alias("label"))
     model = RandomForestClassifier(numTrees=trees, seed=seed).fit(data)
     return matrix.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
+
+
+def read_matrix(spark, path: str, key: str = "id") -> DataFrame:
+    """A feature matrix from a CSV file with a header; missing numbers are the column's mean, rows in order of ``key``."""
+    m = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    names = [c for c, t in m.dtypes if c != key and t != "string"]
+    means = m.agg(*[F.avg(f"`{c}`").alias(c) for c in names])
+    filled = m.alias("m").crossJoin(F.broadcast(means.select(*[F.col(f"`{c}`").alias(f"mean {c}") for c in names])))  # one row
+    return filled.select(*[F.coalesce(F.col(f"m.`{c}`"), F.col(f"`mean {c}`")).alias(c) if c in names else F.col(f"m.`{c}`") for c in m.columns]).orderBy(key)
+
+
+def of_observation(matrix: DataFrame, code: str) -> list[str]:
+    return [c for c in matrix.columns if code in c]
+
+
+def train_observations(matrix: DataFrame, codes: list[str] = CODES, k: int = 4, seed: int = 1, skip_id=None, key: str = "id") -> dict[str, dict]:
+    """For each observation code that has columns: their names, population deviations and ordered centroids of whitened rows."""
+    rows = matrix if skip_id is None else matrix.where(F.col(key) != skip_id)
+    out = {}
+    for code in codes:
+        if names := of_observation(matrix, code):
+            points = rows.select(F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("p"))
+            sd = rows.agg(*[F.stddev_pop(f"`{c}`").alias(str(i)) for i, c in enumerate(names)]).first()
+            out[code] = {"columns": names, "sd": [1.0 if not v else float(v) for v in sd], "centroids": train_clusters(points, k, seed)}
+    return out
+
+
+def score_observations(matrix: DataFrame, models: dict[str, dict], key: str = "id") -> DataFrame:
+    """``key`` and an int score (number of the nearest centroid) for each trained code; one projection, no join."""
+    scores = []
+    for code, m in models.items():
+        p = F.array(*[F.col(f"`{c}`").cast("double") / s for c, s in zip(m["columns"], m["sd"], strict=True)])
+        near = F.array_min(F.array(*[F.struct(distance(p, F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("k")) for i, c in enumerate(m["centroids"])]))
+        scores.append(near["k"].cast("int").alias(code))
+    return matrix.select(key, *scores)
+
+
+def predict_labels(matrix: DataFrame, training: DataFrame, labels: DataFrame, codes: list[str] = CODES, k: int = 3, skip_id=None, key: str = "id") -> DataFrame:
+    """``key`` and a predicted label for each code, by the nearest whitened training rows; queries aren't whitened, as recorded values have it.
+
+    ``labels`` has ``key`` and a column for each code; null labels take no part.
+    """
+    rows = training if skip_id is None else training.where(F.col(key) != skip_id)
+    out = matrix.select(key)
+    for code in codes:
+        names = of_observation(training, code)
+        if not names or code not in labels.columns:
+            continue
+        point = F.array(*[F.col(f"`{c}`").cast("double") for c in names])
+        known = whitened(rows.select(F.col(key), point.alias("q")), "q").select(key, "q").join(labels.select(key, F.col(f"`{code}`").cast("int").alias("label")), key).where("label is not null")
+        found = nearest_neighbours(matrix.select(F.col(key).alias("id"), point.alias("p")), known.select(F.col(key).alias("tid"), "q", "label"), k)
+        out = out.join(found.select(F.col("id").alias(key), F.col("predicted").alias(code)), key, "left")
+    return out

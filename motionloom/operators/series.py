@@ -74,11 +74,20 @@ def local_peaks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("l", F.lag("v").over(in_order())).withColumn("r", F.lead("v").over(in_order())).where("v > l and v > r").select("key", "seq", "v")
 
 
-def runs(rows: DataFrame, label: str, shortest: int = 1) -> DataFrame:
-    """Stretches of one label that are longer than ``shortest``: ``key, label, first, last``; the last, open one too."""
+def runs(rows: DataFrame, label: str, shortest: int = 1, keep: list | None = None, closed: bool = False) -> DataFrame:
+    """Stretches of one label that are longer than ``shortest``: ``key, label, first, last``.
+
+    ``keep``: only of these labels. ``closed``: only stretches that another label ends, as recorded sections have it, where
+    the last one of a recording stays open and goes; without it the last one counts like any other.
+    """
     change = F.when(F.col(label).eqNullSafe(F.lag(label).over(in_order())) & (F.lag("seq").over(in_order()).isNotNull()), 0).otherwise(1)
     ranked = rows.withColumn("change", change).withColumn("run", F.sum("change").over(in_order()))
-    return ranked.groupBy("key", "run").agg(F.first(label).alias("label"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n")).where(F.col("n") > shortest).select("key", "label", "first", "last")
+    if closed:
+        ranked = ranked.withColumn("end", F.max("seq").over(whole()))
+    got = ranked.groupBy("key", "run").agg(F.first(label).alias("label"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"), *([F.max("end").alias("end")] if closed else [])).where(F.col("n") > shortest)
+    if closed:
+        got = got.where("last < end")
+    return (got if keep is None else got.where(F.col("label").isin(keep))).select("key", "label", "first", "last")
 
 
 def bins(rows: DataFrame, step: float) -> DataFrame:
@@ -94,11 +103,13 @@ def resample(rows: DataFrame, step: float) -> DataFrame:
 
 
 def interpolate(rows: DataFrame, at: str) -> DataFrame:
-    """Linear interpolation of null ``v`` at positions ``at``: an as-of look to both sides in one window."""
-    w = Window.partitionBy("key").orderBy(at)
+    """Linear interpolation of null ``v`` at positions ``at``: an as-of look back, and one in descending order for the look ahead.
+
+    Both windows run from the start of their order to the current row, so a recording costs its length.
+    """
     known = F.when(F.col("v").isNotNull(), F.struct(F.col(at).cast("double").alias("x"), F.col("v").alias("y")))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    got = rows.withColumn("p", F.last(known, True).over(back)).withColumn("q", F.first(known, True).over(ahead))
+    so_far = lambda order: Window.partitionBy("key").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    got = rows.withColumn("p", F.last(known, True).over(so_far(F.asc(at)))).withColumn("q", F.last(known, True).over(so_far(F.desc(at))))
     line = F.col("p.y") + (F.col("q.y") - F.col("p.y")) * (F.col(at) - F.col("p.x")) / (F.col("q.x") - F.col("p.x"))
     return got.select("key", at, F.coalesce("v", line).alias("v"))
 
@@ -161,20 +172,56 @@ def nearest_label(samples: DataFrame, intervals: DataFrame) -> DataFrame:
     return hit.groupBy("key", "seq").agg(F.max_by("label", "priority").alias("label"))
 
 
-def by_kernel(rows: DataFrame, kernel: Callable, schema: str, value: str = "v") -> DataFrame:
-    """Apply ``kernel(values) -> dict`` to each key's ordered array: ``key`` and the columns of ``schema`` (names and types).
+def by_kernel(rows: DataFrame, kernel: Callable, schema: str, value: str | list[str] = "v") -> DataFrame:
+    """Apply ``kernel(values, ...) -> dict`` to each key's ordered arrays, one for each name in ``value``: ``key`` and the columns of ``schema``.
 
     The exchange and the ordering are Spark's; Python sees one Arrow batch of recordings at a time.
     """
-    arrays = ordered(rows, value)
-    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    values = [value] if isinstance(value, str) else list(value)
+    held = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(values)]))).alias("r"))
+    arrays = held.select("key", *[F.col("r").getField(f"x{k}").alias(f"x{k}") for k in range(len(values))])
+    types = parsed(schema)
     key = dict(arrays.dtypes)["key"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
         for b in batches:
-            got = [kernel(np.asarray(v, float)) for v in b["values"]]
-            yield pd.DataFrame({"key": b["key"], **{n: [g.get(n) for g in got] for n in names}})
+            got = [kernel(*(np.asarray(v, float) for v in each)) for each in zip(*(b[f"x{k}"] for k in range(len(values))), strict=True)]
+            yield pd.DataFrame({"key": b["key"], **{n: [g.get(n) for g in got] for n in types}})
 
     return arrays.mapInPandas(run, f"key {key}, {schema}")
+
+
+def parsed(schema: str) -> list[str]:
+    """Column names of a schema string."""
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(schema).names
+
+
+def filtered(rows: DataFrame, columns: list[str], kernel: Callable, keep: list[str] | None = None) -> DataFrame:
+    """``kernel`` over each of ``columns`` of every recording: ``key, seq``, those columns filtered, and ``keep`` as they are."""
+    keep = keep or []
+    if missing := [c for c in keep if c not in rows.columns]:
+        raise ValueError(f"no such columns: {missing}")
+    done = by_kernel(rows, lambda *xs: {c: kernel(x).tolist() for c, x in zip(columns, xs, strict=True)}, ", ".join(f"`{c}` array<double>" for c in columns), columns)
+    flat = done.select("key", F.posexplode(F.arrays_zip(*columns)).alias("at", "r")).select("key", F.col("at").cast("long").alias("at"), *[F.col("r")[c].alias(c) for c in columns])
+    order = rows.select("key", "seq", *keep).withColumn("at", (F.row_number().over(in_order()) - 1).cast("long"))
+    return order.join(flat, ["key", "at"]).select("key", "seq", *columns, *keep)
+
+
+def resample_columns(rows: DataFrame, columns: list[str], step: float) -> DataFrame:
+    """:func:`resample` of several columns on one grid: ``key, bin`` and the columns."""
+    b = rows.groupBy("key", F.floor(F.col("td") / step).alias("bin")).agg(*[F.avg(c).alias(c) for c in columns])
+    grid = b.groupBy("key").agg(F.max("bin").alias("last")).select("key", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("bin"))
+    got = grid.join(b, ["key", "bin"], "left")
+    so_far = lambda order: Window.partitionBy("key").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = []
+    for c in columns:
+        known = F.when(F.col(c).isNotNull(), F.struct(F.col("bin").cast("double").alias("x"), F.col(c).alias("y")))
+        got = got.withColumn("p", F.last(known, True).over(so_far(F.asc("bin")))).withColumn("q", F.last(known, True).over(so_far(F.desc("bin"))))
+        line = F.col("p.y") + (F.col("q.y") - F.col("p.y")) * (F.col("bin") - F.col("p.x")) / (F.col("q.x") - F.col("p.x"))
+        got = got.withColumn(c, F.coalesce(c, line))
+        out.append(c)
+    return got.select("key", "bin", *out)

@@ -87,12 +87,39 @@ def dysmetria(taps: DataFrame) -> DataFrame:
 
 
 def tap_features(taps: DataFrame, prefix: str = "", targets: bool = True, crop: bool = False) -> DataFrame:
-    """Long rows ``key, feature, value``: seven features, six without targets."""
-    wide = frequency(taps, crop)
-    for part in (mean_moving_time(taps), incoordination(taps), alternate_distance(taps), kinesia(taps, crop), akinesia(taps), *([dysmetria(taps)] if targets else [])):
-        wide = wide.join(part, "key", "left")
-    names = [c for c in wide.columns if c != "key"]
-    return wide.select("key", F.explode(F.array(*[F.struct(F.lit(prefix + n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])).alias("r")).select("key", "r.*")
+    """Long rows ``key, feature, value``: seven features, six without targets.
+
+    One ordering ranks touches and raises alike, one aggregation gives all features; only pairs by ordinal meet again,
+    as sums over ranks inside it.
+    """
+    w = Window.partitionBy("key", "action_type").orderBy("seq")
+    of = Window.partitionBy("key", "action_type")
+    led = taps.select("key", "seq", "td", "action_type", "x", "y", *(["x_target", "y_target"] if targets else []), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(of).alias("n"), *[F.lead(c).over(w).alias(f"{c}1") for c in ("td", "x", "y")])
+    down, up = F.col("action_type") == 0, F.col("action_type") == 1
+    odd_step = (F.col("i") < F.col("n") - 2) & (F.col("i") % 2 == 1)
+    far = lambda a, b, c, e: F.sqrt((F.col(a) - F.col(b)) ** 2 + (F.col(c) - F.col(e)) ** 2)
+    touches, raises = F.collect_list(F.when(down, F.struct("i", "td"))), F.collect_list(F.when(up, F.struct("i", "td")))
+    got = led.groupBy("key").agg(
+        F.count_if(up).alias("ups"), F.max_by("td", "seq").alias("last"),
+        F.avg(F.when(up & odd_step, F.col("td1") - F.col("td"))).alias("moving"),
+        F.avg(F.when(down & odd_step, far("x1", "x", "y1", "y"))).alias("alternate"),
+        F.array_sort(touches).alias("d"), F.array_sort(raises).alias("u"),
+        *([F.avg(F.when(down, far("x", "x_target", "y", "y_target"))).alias("off")] if targets else []),
+    )
+    both = F.least(F.size("d"), F.size("u"))
+    paired = F.transform(F.sequence(F.lit(0), both - 1), lambda i: F.get("d", i)["td"] - F.get("u", i)["td"])
+    # raise i and the touch after it, whose ordinal is one more; the last raise has none that counts
+    few = F.least(F.size("d") - 1, F.size("u") - 1)
+    after = F.transform(F.filter(F.sequence(F.lit(0), few - 1), lambda i: i % 2 == 1), lambda i: F.get("d", i + 1)["td"] - F.get("u", i)["td"])
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
+    with_gaps = got.select("*", F.when(both > 0, paired).alias("pairs"), F.when(few > 1, after).alias("gaps"))
+    centred = F.transform("gaps", lambda x: (x - mean(F.col("gaps"))) * (x - mean(F.col("gaps"))))
+    features = {
+        "frequency": F.col("ups") / F.col("last") - (1 if crop else 0), "mean_moving_time": F.col("moving") * 1000,
+        "incoordination_score": F.when(F.size("gaps") > 0, mean(centred) * 1000), "mean_alnt_target_distance": F.col("alternate"),
+        "kinesia_scores": F.col("ups") - (1 if crop else 0), "akinesia_times": F.abs(mean(F.col("pairs"))), **({"dysmetria_score": F.col("off")} if targets else {}),
+    }
+    return with_gaps.select("key", F.explode(F.array(*[F.struct(F.lit(prefix + n).alias("feature"), c.cast("double").alias("value")) for n, c in features.items()])).alias("r")).select("key", "r.*")
 
 
 def reaction_times(rows: DataFrame, fixed: bool = False) -> DataFrame:

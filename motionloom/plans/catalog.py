@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motionloom.functions import signal
-from motionloom.operators import scoring, series, tapping
-from motionloom.plans import registry
+from motionloom.operators import motion, scoring, series, tapping
+from motionloom.plans import oracles, registry
 from motionloom.plans.registry import query
 
 E_CTE = """e AS (
@@ -52,6 +52,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
+def by_sample(df: DataFrame, column: str, at: str = "seq") -> DataFrame:
+    """One row for each element of an array column: ``key``, its place as ``at`` and the element under the column's name."""
+    return df.select("key", F.posexplode(column).alias("place", "value")).select("key", F.col("place").cast("long").alias(at), F.col("value").alias(column))
+
+
 def r(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0 AS {name}"
 
@@ -193,15 +198,37 @@ def g02_moving_frequency(spark, d):
     return rounded(tapping.moving_frequency(taps(spark, d).withColumn("td", F.col("seq") / 5.0)))
 
 
-@query()
+TAP_FEATURES = {"frequency": 9, "mean_moving_time": 1, "incoordination_score": 3, "mean_alnt_target_distance": 6, "kinesia_scores": 0, "akinesia_times": 4, "dysmetria_score": 6}
+F_CTE = T_CTE + """, mv AS (SELECT key, avg(v) * 1000 AS mean_moving_time FROM (SELECT key, i, n, lead(td) OVER (PARTITION BY key ORDER BY seq) - td AS v FROM u0) WHERE i < n - 2 AND i % 2 = 1 GROUP BY key),
+ic AS (SELECT d0.key, var_pop(d0.td - u0.td) / 1e6 AS incoordination_score FROM d0 JOIN u0 ON d0.key = u0.key AND d0.i - 1 = u0.i AND u0.i < u0.n - 1 WHERE u0.i % 2 = 1 GROUP BY d0.key),
+ad AS (SELECT key, avg(q) AS mean_alnt_target_distance FROM (SELECT key, i, n, sqrt(pow(lead(v) OVER w - v, 2) + pow(lead(y) OVER w - y, 2)) AS q FROM d0 WINDOW w AS (PARTITION BY key ORDER BY seq)) WHERE i < n - 2 AND i % 2 = 1 GROUP BY key),
+ak AS (SELECT d0.key, abs(avg(d0.td - u0.td)) AS akinesia_times FROM d0 JOIN u0 ON d0.key = u0.key AND d0.i = u0.i GROUP BY d0.key),
+fr AS (SELECT key, count(*) FILTER (WHERE action = 1) / max_by(td, seq) AS frequency, count(*) FILTER (WHERE action = 1) AS kinesia_scores, avg(sqrt(pow(v - 50, 2) + pow(y - 50, 2))) FILTER (WHERE action = 0) AS dysmetria_score,
+  min(v) AS minimum, avg(v) AS mean, sum(v * v) AS abs_energy FROM e GROUP BY key),
+tf AS (SELECT fr.*, mean_moving_time, incoordination_score, mean_alnt_target_distance, akinesia_times FROM fr LEFT JOIN mv ON fr.key = mv.key LEFT JOIN ic ON fr.key = ic.key LEFT JOIN ad ON fr.key = ad.key LEFT JOIN ak ON fr.key = ak.key)"""
+
+
+def tap_matrix(long: DataFrame) -> DataFrame:
+    """One row a key; scores in squared milliseconds by the thousand million, as they are too long for doubles to agree on."""
+    wide = long.groupBy("key").pivot("feature", list(TAP_FEATURES)).agg(F.first("value")).withColumn("incoordination_score", F.col("incoordination_score") / 1e9)
+    return wide.select("key", *[(F.round(c, n) + 0.0).alias(c) for c, n in TAP_FEATURES.items()])
+
+
+@query(f"WITH {F_CTE} SELECT key, {', '.join(r(c + '::DOUBLE', c, n) for c, n in TAP_FEATURES.items())} FROM tf")
 def g10_tap_features(spark, d):
-    return tapping.tap_features(taps(spark, d), "TT-RH-")
+    return tap_matrix(tapping.tap_features(taps(spark, d)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {E_CTE}, rr AS MATERIALIZED (SELECT key, seq, td, event_type IN ('view', 'click') AS vis, event_type = 'click' AS pres FROM e),
+f AS (SELECT key, -1::BIGINT AS seq, 0 AS state, 0.0::DOUBLE AS shown, 0.0::DOUBLE AS pressed, 0.0::DOUBLE AS press, 0.0::DOUBLE AS release, 0 AS entries FROM (SELECT DISTINCT key FROM rr)
+  UNION ALL SELECT f.key, rr.seq, CASE WHEN state = 0 AND vis AND NOT pres THEN 1 WHEN state = 1 AND pres THEN 2 WHEN state = 2 AND NOT pres THEN 0 ELSE state END, CASE WHEN state = 0 AND vis AND NOT pres THEN td ELSE shown END, CASE WHEN state = 1 AND pres THEN td ELSE pressed END,
+    CASE WHEN state = 1 AND pres THEN press + (td - shown) ELSE press END, CASE WHEN state = 2 AND NOT pres THEN release + (pressed - shown) ELSE release END, CASE WHEN state = 1 AND pres OR state = 2 AND NOT pres THEN entries + 1 ELSE entries END
+  FROM f JOIN rr ON rr.key = f.key AND rr.seq = f.seq + 1),
+z AS (SELECT key, max_by(press, seq) AS press, max_by(release, seq) AS release, max_by(entries, seq) AS entries FROM f GROUP BY key)
+SELECT key, {r('press / entries', 'mean_press_button_time', 3)}, {r('release / entries', 'mean_release_button_time', 3)}, {r('press / entries + release / entries', 'mean_total_reaction_time', 3)} FROM z WHERE entries > 0""")
 def g11_reaction_times(spark, d):
     rows = recordings(spark, d).select("key", "seq", "td", F.col("event_type").isin("view", "click").alias("b_vis"), (F.col("event_type") == "click").alias("b_pres"))
-    return tapping.reaction_times(rows)
+    return rounded(tapping.reaction_times(rows), 3)
 
 
 # features of series
@@ -225,9 +252,9 @@ def g19_autocorrelation(spark, d):
     return rounded(series.autocorrelation(vectors(spark, d), 8))
 
 
-@query()
+@query(oracles.lag_sums(V_CTE, 6))
 def g20_partial_autocorrelation(spark, d):
-    return series.by_kernel(vectors(spark, d), lambda x: {f"lag{k}": signal.pacf(x, k) for k in (3, 5, 6)}, "lag3 double, lag5 double, lag6 double")
+    return rounded(series.by_kernel(vectors(spark, d), lambda x: {f"lag{k}": signal.pacf(x, k) for k in (3, 5, 6)}, "lag3 double, lag5 double, lag6 double"))
 
 
 @query(f"""WITH {V_CTE}, q AS (SELECT key, quantile_cont(v, 0.0) AS lo, quantile_cont(v, 0.2) AS hi FROM v GROUP BY key), l AS (SELECT *, lead(v) OVER (PARTITION BY key ORDER BY seq) AS o FROM v)
@@ -252,14 +279,15 @@ def g23_linear_trend_of_variance(spark, d):
     return rounded(series.linear_trend(vectors(spark, d), 10, F.var_samp))
 
 
-@query()
+@query(f"""WITH {V_CTE}, {oracles.welch_power('v', 256, 1.0)} SELECT key, {', '.join(r(f'max(p) FILTER (WHERE k = {k})', f'c{k}') for k in (2, 5, 8))} FROM p GROUP BY key""")
 def g24_welch_density(spark, d):
-    return series.by_kernel(vectors(spark, d), lambda x: {f"c{k}": float(signal.welch(x)[1][k]) for k in (2, 5, 8)}, "c2 double, c5 double, c8 double")
+    return rounded(series.by_kernel(vectors(spark, d), lambda x: {f"c{k}": float(signal.welch(x)[1][k]) for k in (2, 5, 8)}, "c2 double, c5 double, c8 double"))
 
 
-@query()
+@query(f"""WITH {V_CTE}, k AS (SELECT unnest(range(0, 33)) AS k), f AS (SELECT key, k, sqrt(pow(sum(v * cos(2 * pi() * ((k * seq) % 64) / 64)), 2) + pow(sum(v * sin(2 * pi() * ((k * seq) % 64) / 64)), 2)) AS m FROM v, k GROUP BY key, k)
+SELECT key, {r('sum(k * m) / sum(m)', 'centroid')} FROM f GROUP BY key""")
 def g25_fft_centroid(spark, d):
-    return series.by_kernel(vectors(spark, d), lambda x: {"centroid": signal.fft_centroid(x)}, "centroid double")
+    return rounded(series.by_kernel(vectors(spark, d), lambda x: {"centroid": signal.fft_centroid(x)}, "centroid double"))
 
 
 @query(f"WITH {V_CTE} SELECT key, {r('sum(v * cos(2 * pi() * 23 * seq / 64))', 're')}, {r('-sum(v * sin(2 * pi() * 23 * seq / 64))', 'im')}, {r('sqrt(pow(sum(v * cos(2 * pi() * 23 * seq / 64)), 2) + pow(sum(v * sin(2 * pi() * 23 * seq / 64)), 2))', 'magnitude')} FROM v GROUP BY key")
@@ -267,9 +295,12 @@ def g26_fft_coefficient(spark, d):
     return rounded(series.spectrum_line(vectors(spark, d), 23))
 
 
-@query()
+@query(f"""WITH {V_CTE}, t AS MATERIALIZED (SELECT key, seq, v AS a, lead(v) OVER w AS b, lead(v, 2) OVER w AS c FROM v WINDOW w AS (PARTITION BY key ORDER BY seq)), s AS (SELECT key, 0.3 * stddev_pop(v) AS tol, count(*) AS n FROM v GROUP BY key),
+m AS (SELECT x.key, x.seq, n, sum(CASE WHEN greatest(abs(x.a - y.a), abs(x.b - y.b)) <= tol THEN 1 ELSE 0 END) AS two, sum(CASE WHEN x.c IS NOT NULL AND y.c IS NOT NULL AND greatest(abs(x.a - y.a), abs(x.b - y.b), abs(x.c - y.c)) <= tol THEN 1 ELSE 0 END) AS three, max(CASE WHEN x.c IS NOT NULL THEN 1 ELSE 0 END) AS whole
+  FROM t x JOIN t y ON x.key = y.key AND x.b IS NOT NULL AND y.b IS NOT NULL JOIN s ON s.key = x.key GROUP BY x.key, x.seq, n)
+SELECT key, {r('abs(avg(ln(two / (n - 1))) - avg(CASE WHEN whole = 1 THEN ln(three / (n - 2)) END))', 'apen')} FROM m GROUP BY key""")
 def g27_approximate_entropy(spark, d):
-    return series.by_kernel(vectors(spark, d), lambda x: {"apen": signal.approximate_entropy(x)}, "apen double")
+    return rounded(series.by_kernel(vectors(spark, d), lambda x: {"apen": signal.approximate_entropy(x)}, "apen double"))
 
 
 @query(f"""WITH {V_CTE}, s AS (SELECT key, sum(v) AS s, max_by(v, seq) AS z, min_by(v, seq) AS a FROM v GROUP BY key) SELECT key, {r('((s - a) / 100.0 + (s - z)) / 200.0', 'integral')} FROM s""")
@@ -317,23 +348,28 @@ def g34_distinct(spark, d):
 # ordered operators
 
 
-@query(f"""WITH {E_CTE}, b AS (SELECT key, floor(td / 86400) AS bin, avg(v) AS v FROM e GROUP BY 1, 2), g AS (SELECT key, unnest(range(0, max(bin)::BIGINT + 1)) AS bin FROM b GROUP BY key),
-j AS (SELECT g.key, g.bin, b.v, CASE WHEN b.v IS NOT NULL THEN g.bin END AS spot FROM g LEFT JOIN b ON g.key = b.key AND g.bin = b.bin),
-k AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS y0, last_value(spot IGNORE NULLS) OVER p AS x0, first_value(v IGNORE NULLS) OVER q AS y1, first_value(spot IGNORE NULLS) OVER q AS x1 FROM j
-  WINDOW p AS (PARTITION BY key ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY key ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT key, bin, {r('coalesce(v, y0 + (y1 - y0) * (bin - x0) / (x1 - x0))', 'v')} FROM k""")
+def _bins_cte(step: int, column: str = "v") -> str:
+    """CTEs ending in ``j`` (key, seq, v): bins of ``step`` seconds, empty ones filled linearly."""
+    return f"""{E_CTE}, bn AS (SELECT key, floor(td / {step}) AS bin, avg({column}) AS v FROM e GROUP BY 1, 2), gr AS (SELECT key, unnest(range(0, max(bin)::BIGINT + 1)) AS bin FROM bn GROUP BY key),
+sp AS (SELECT gr.key, gr.bin, bn.v, CASE WHEN bn.v IS NOT NULL THEN gr.bin END AS spot FROM gr LEFT JOIN bn ON gr.key = bn.key AND gr.bin = bn.bin),
+ip AS (SELECT *, last_value(v IGNORE NULLS) OVER lo AS y0, last_value(spot IGNORE NULLS) OVER lo AS x0, first_value(v IGNORE NULLS) OVER hi AS y1, first_value(spot IGNORE NULLS) OVER hi AS x1 FROM sp
+  WINDOW lo AS (PARTITION BY key ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), hi AS (PARTITION BY key ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+j AS MATERIALIZED (SELECT key, bin AS seq, coalesce(v, y0 + (y1 - y0) * (bin - x0) / (x1 - x0)) AS v FROM ip)"""
+
+
+@query(f"WITH {_bins_cte(86400)} SELECT key, seq AS bin, {r('v', 'v')} FROM j")
 def w01_resample(spark, d):
     return rounded(series.resample(recordings(spark, d), 86400.0))
 
 
-@query()
+@query(oracles.filtered(V_CTE, "high"))
 def w03_high_pass(spark, d):
-    return series.by_kernel(vectors(spark, d), lambda x: {"filtered": signal.high_pass(x).tolist()}, "filtered array<double>")
+    return rounded(by_sample(series.by_kernel(vectors(spark, d), lambda x: {"filtered": signal.high_pass(x).tolist()}, "filtered array<double>"), "filtered"))
 
 
-@query()
+@query(oracles.filtered(V_CTE, "low"))
 def w04_low_pass(spark, d):
-    return series.by_kernel(vectors(spark, d), lambda x: {"filtered": signal.low_pass(x).tolist()}, "filtered array<double>")
+    return rounded(by_sample(series.by_kernel(vectors(spark, d), lambda x: {"filtered": signal.low_pass(x).tolist()}, "filtered array<double>"), "filtered"))
 
 
 def _dft_sql(low: float, high: float) -> str:
@@ -351,13 +387,13 @@ def w07_amplitude_by_fft(spark, d):
     return rounded(series.by_kernel(vectors(spark, d), kernel, "amplitude double, frequency double"))
 
 
-@query()
+@query(f"""WITH {V_CTE}, {oracles.welch_power('v', 32, 100.0)} SELECT key, {r('sum(p) FILTER (WHERE k * 100.0 / n > 2 AND k * 100.0 / n < 10)', 'amplitude')}, {r('max_by(k * 100.0 / n, p)', 'frequency')} FROM p GROUP BY key""")
 def w08_amplitude_by_welch(spark, d):
     def kernel(x):
         a, f = signal.amplitude_welch(x, window=32)
         return {"amplitude": a, "frequency": f}
 
-    return series.by_kernel(vectors(spark, d), kernel, "amplitude double, frequency double")
+    return rounded(series.by_kernel(vectors(spark, d), kernel, "amplitude double, frequency double"))
 
 
 def _tremor(window: int, low: float, high: float, centre: bool):
@@ -373,26 +409,41 @@ def _tremor(window: int, low: float, high: float, centre: bool):
 SPECTRAL = "fft_amplitude double, fft_frequency double, welch_amplitude double, welch_frequency double"
 
 
-@query()
+@query(oracles.tremor(_bins_cte(3600), 2.0, 10.0, False))
 def w09_tremor_amplitude(spark, d):
     """Resample, high-pass, window, transform: amplitude and dominant frequency of every recording."""
     bins = series.resample(recordings(spark, d), 3600.0).withColumnRenamed("bin", "seq")
-    return series.by_kernel(bins, _tremor(256, 2.0, 10.0, False), SPECTRAL)
+    return rounded(series.by_kernel(bins, _tremor(256, 2.0, 10.0, False), SPECTRAL))
 
 
-@query()
+@query(oracles.tremor(_bins_cte(3600), 0.0, 4.0, True))
 def w10_bradykinesia(spark, d):
     bins = series.resample(recordings(spark, d), 3600.0).withColumnRenamed("bin", "seq")
-    return series.by_kernel(bins, _tremor(256, 0.0, 4.0, True), SPECTRAL)
+    return rounded(series.by_kernel(bins, _tremor(256, 0.0, 4.0, True), SPECTRAL))
 
 
-@query()
+def _three_axes_cte(n: str = "xa") -> str:
+    return f"{X_CTE}, {n} AS MATERIALIZED (SELECT key, axis, seq, v::DOUBLE AS v FROM (SELECT key, seq, unnest(['x', 'y', 'z']) AS axis, unnest([x, y, z]) AS v FROM x))"
+
+
+def three_axes(spark, d) -> DataFrame:
+    """X by axis: the key is a struct of recording and axis, so that each axis is a series of its own."""
+    long = axes(spark, d).select("key", "seq", F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("v")) for c in "xyz"])).alias("s"))
+    return long.select(F.concat_ws("/", F.col("key").cast("string"), "s.axis").alias("key"), "seq", "s.v")
+
+
+@query(f"""WITH {_three_axes_cte()}, n AS (SELECT key, axis, count(*) AS n FROM xa GROUP BY 1, 2), en AS (SELECT key, axis, unnest(range(257, n, 50)) AS stop FROM n),
+c AS MATERIALIZED (SELECT en.key, en.axis, stop, seq - stop + 256 AS i, v - avg(v) OVER (PARTITION BY en.key, en.axis, stop) AS v FROM en JOIN xa ON xa.key = en.key AND xa.axis = en.axis AND seq >= stop - 256 AND seq < stop),
+k AS (SELECT unnest(range(0, 20)) AS k), p AS MATERIALIZED (SELECT key, axis, stop, k, (pow(sum(v * cos(2 * pi() * ((k * i) % 256) / 256)), 2) + pow(sum(v * sin(2 * pi() * ((k * i) % 256) / 256)), 2)) / 256 AS p FROM c, k GROUP BY key, axis, stop, k),
+g AS (SELECT key, axis, stop, (sum(p) FILTER (WHERE k BETWEEN 1 AND 6) / 100 + sum(p) FILTER (WHERE k BETWEEN 0 AND 5)) / 200 AS wk, (sum(p) FILTER (WHERE k BETWEEN 7 AND 19) / 100 + sum(p) FILTER (WHERE k BETWEEN 6 AND 18)) / 200 AS fz FROM p GROUP BY key, axis, stop)
+SELECT key || '/' || axis AS key, stop AS time, {r('(fz / wk)::REAL::DOUBLE', 'freeze_index', 4)}, {r('(fz + wk)::REAL::DOUBLE', 'locomotion', 4)} FROM g""")
 def w11_freeze_of_gait(spark, d):
     def kernel(x):
         t, i, p = signal.freeze_of_gait(x)
-        return {"times": t, "freeze_index": i, "locomotion": p}
+        return {"r": [{"time": a, "freeze_index": b, "locomotion": c} for a, b, c in zip(t, i, p, strict=True)]}
 
-    return series.by_kernel(axes(spark, d).withColumnRenamed("x", "v"), kernel, "times array<int>, freeze_index array<double>, locomotion array<double>")
+    got = series.by_kernel(three_axes(spark, d), kernel, "r array<struct<time: bigint, freeze_index: double, locomotion: double>>")
+    return rounded(got.select("key", F.inline("r")), 4)
 
 
 @query()
@@ -416,31 +467,36 @@ def w15_heel_strikes(spark, d):
     return series.by_kernel(axes(spark, d).withColumnRenamed("x", "v"), kernel, "times array<double>, positions array<int>")
 
 
-@query(f"""WITH {V_CTE}, m AS (SELECT key, seq, v - avg(v) OVER (PARTITION BY key) AS c FROM v), p AS (SELECT a.key, b.seq - a.seq AS lag, sum(a.c * b.c) AS s FROM m a JOIN m b ON a.key = b.key AND b.seq BETWEEN a.seq AND a.seq + 5 GROUP BY 1, 2),
+@query(f"""WITH {V_CTE}, m AS (SELECT key, seq, v - avg(v) OVER (PARTITION BY key) AS c FROM v), p AS (SELECT a.key, b.seq - a.seq AS lag, sum(a.c * b.c) AS s FROM m a JOIN m b ON a.key = b.key AND b.seq >= a.seq GROUP BY 1, 2),
 z AS (SELECT key, var_pop(v) AS q FROM v GROUP BY key) SELECT p.key, lag, {r('s / (q * (64 - lag))', 'acf')} FROM p JOIN z ON p.key = z.key WHERE q > 0""")
 def w17_autocorrelation(spark, d):
-    got = series.by_kernel(vectors(spark, d), lambda x: {"a": signal.acf_unbiased(x)[:6].tolist()}, "a array<double>")
+    got = series.by_kernel(vectors(spark, d), lambda x: {"a": signal.acf_unbiased(x).tolist()}, "a array<double>")
     flat = got.select("key", F.posexplode("a").alias("lag", "acf")).where("not isnan(acf)")
     return rounded(flat.select("key", F.col("lag").cast("long").alias("lag"), "acf"))
 
 
-@query()
+@query(f"""WITH {V_CTE}, c AS (SELECT a.key, b.seq - a.seq AS lag, sum(a.v * b.v) AS c FROM v a JOIN v b ON a.key = b.key AND b.seq >= a.seq GROUP BY 1, 2),
+z AS (SELECT key, max(c) FILTER (WHERE lag = 0) / max(c) FILTER (WHERE lag = 63) AS first FROM c GROUP BY key), u AS (SELECT c.key, lag, c / (first + (1 - first) * lag / 63) AS c FROM c JOIN z ON c.key = z.key)
+SELECT key, lag, {r('c / max(abs(c)) OVER (PARTITION BY key)', 'acf')} FROM u""")
 def w18_raw_autocorrelation(spark, d):
-    return series.by_kernel(vectors(spark, d), lambda x: {"acf": signal.raw_acf(x).tolist()}, "acf array<double>")
+    return rounded(by_sample(series.by_kernel(vectors(spark, d), lambda x: {"acf": signal.raw_acf(x).tolist()}, "acf array<double>"), "acf", "lag"))
 
 
-@query()
+@query(f"""WITH {V_CTE}, k AS (SELECT unnest(range(0, 33)) AS k), f AS (SELECT key, k, sum(v * cos(2 * pi() * ((k * seq) % 64) / 64)) AS re, -sum(v * sin(2 * pi() * ((k * seq) % 64) / 64)) AS im FROM v, k GROUP BY key, k),
+p AS (SELECT key, CASE WHEN k = 0 THEN 0 ELSE 2 * k - 1 END AS spot, re AS x FROM f UNION ALL SELECT key, 2 * k, im FROM f WHERE k BETWEEN 1 AND 31), o AS (SELECT key, spot, row_number() OVER (PARTITION BY key ORDER BY x DESC) AS n FROM p)
+SELECT key, CASE WHEN spot = 0 THEN 64 ELSE round(64.0 / least(spot, 64 - spot))::INTEGER END AS samples FROM o WHERE n = 2""")
 def w19_interpeak(spark, d):
     return series.by_kernel(vectors(spark, d), lambda x: {"samples": signal.interpeak(x, 100.0)}, "samples int")
 
 
-@query()
+@query(f"""WITH RECURSIVE {V_CTE}, vm AS MATERIALIZED (SELECT key, seq, v FROM v), {oracles.peakdet('vm', 0.5)}
+SELECT key, top AS seq, 'max' AS kind FROM pd WHERE top >= 0 UNION ALL SELECT key, dip, 'min' FROM pd WHERE dip >= 0""")
 def w20_peak_detection(spark, d):
     def kernel(x):
         tops, dips = signal.peakdet(x, 0.5)
-        return {"maxima": [p for p, _ in tops], "minima": [p for p, _ in dips]}
+        return {"r": [{"seq": p, "kind": "max"} for p, _ in tops] + [{"seq": p, "kind": "min"} for p, _ in dips]}
 
-    return series.by_kernel(vectors(spark, d), kernel, "maxima array<int>, minima array<int>")
+    return series.by_kernel(vectors(spark, d), kernel, "r array<struct<seq: bigint, kind: string>>").select("key", F.inline("r"))
 
 
 @query(f"WITH {V_CTE}, l AS (SELECT *, lead(v) OVER (PARTITION BY key ORDER BY seq) AS o FROM v) SELECT key, seq FROM l WHERE v > 0 AND o <= 0")
@@ -453,18 +509,20 @@ def w22_local_peaks(spark, d):
     return series.local_peaks(vectors(spark, d))
 
 
-@query()
+@query(f"WITH {V_CTE}, {oracles.peaks_cte()} SELECT key, seq, {r('prominence', 'prominence')} FROM pr")
 def w22_prominences(spark, d):
     def kernel(x):
         p = signal.find_peaks(x)
-        return {"peaks": p.tolist(), "prominence": signal.prominences(x, p).tolist()}
+        return {"r": [{"seq": int(i), "prominence": float(v)} for i, v in zip(p, signal.prominences(x, p), strict=True)]}
 
-    return series.by_kernel(vectors(spark, d), kernel, "peaks array<int>, prominence array<double>")
+    return rounded(series.by_kernel(vectors(spark, d), kernel, "r array<struct<seq: bigint, prominence: double>>").select("key", F.inline("r")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {V_CTE}, sg AS MATERIALIZED (SELECT key, seq, sign(v)::DOUBLE AS v, lead(sign(v)::DOUBLE) OVER (PARTITION BY key ORDER BY seq) AS next FROM v),
+f AS (SELECT key, seq, v AS y FROM sg WHERE seq = 0 UNION ALL SELECT f.key, sg.seq, CASE WHEN f.y = sg.next THEN f.y ELSE sg.v END FROM f JOIN sg ON sg.key = f.key AND sg.seq = f.seq + 1)
+SELECT key, seq, y AS smoothed FROM f""")
 def w23_smoothing(spark, d):
-    return series.by_kernel(vectors(spark, d).withColumn("v", F.signum("v")), lambda x: {"smoothed": signal.smoothing(x).tolist()}, "smoothed array<double>")
+    return by_sample(series.by_kernel(vectors(spark, d).withColumn("v", F.signum("v")), lambda x: {"smoothed": signal.smoothing(x).tolist()}, "smoothed array<double>"), "smoothed")
 
 
 @query(f"""WITH {V_CTE}, f AS (SELECT unnest(range(0, 57, 8)) AS a) SELECT key, a // 8 AS frame, {r('sum(v)', 'total')}, count(*) AS n FROM v JOIN f ON seq BETWEEN a AND a + 15 WHERE a <= 48 GROUP BY key, a // 8""")
@@ -479,13 +537,15 @@ def w28_sections(spark, d):
     return series.runs(recordings(spark, d), "event_type", 1)
 
 
-@query()
+@query(f"""WITH {V_CTE}, {oracles.peaks_cte()}, o AS MATERIALIZED (SELECT key, seq, prominence AS x, row_number() OVER w AS i, count(*) OVER (PARTITION BY key) AS n FROM pr WINDOW w AS (PARTITION BY key ORDER BY seq)),
+c AS (SELECT a.key, a.i AS j, var_pop(b.x) FILTER (WHERE b.i <= a.i) * a.i + var_pop(b.x) FILTER (WHERE b.i > a.i) * (a.n - a.i) AS cost FROM o a JOIN o b ON a.key = b.key WHERE a.i < a.n GROUP BY a.key, a.i, a.n),
+best AS (SELECT key, min_by(j, cost) AS j FROM c GROUP BY key) SELECT o.key, o.seq, (CASE WHEN o.i > coalesce(j, o.n) THEN 1 ELSE 0 END)::BIGINT AS segment FROM o LEFT JOIN best ON o.key = best.key""")
 def w29_segmentation(spark, d):
     def kernel(x):
         p = signal.find_peaks(x)
-        return {"peaks": p.tolist(), "segment": signal.segments(signal.prominences(x, p), 2).tolist()}
+        return {"r": [{"seq": int(i), "segment": int(g)} for i, g in zip(p, signal.segments(signal.prominences(x, p), 2), strict=True)]}
 
-    return series.by_kernel(vectors(spark, d), kernel, "peaks array<int>, segment array<int>")
+    return series.by_kernel(vectors(spark, d), kernel, "r array<struct<seq: bigint, segment: bigint>>").select("key", F.inline("r"))
 
 
 @query(f"WITH {V_CTE}, l AS (SELECT key, seq, v - lag(v) OVER (PARTITION BY key ORDER BY seq) AS d FROM v) SELECT key, seq, {r('d', 'd')} FROM l WHERE d IS NOT NULL")
@@ -503,6 +563,85 @@ def w34_teager(spark, d):
     return rounded(series.teager(vectors(spark, d)))
 
 
+# whole recordings
+
+
+@query(f"SELECT a.key, a.bin, a.v, b.y FROM (WITH {_bins_cte(86400)} SELECT key, seq AS bin, {r('v', 'v')} FROM j) a JOIN (WITH {_bins_cte(86400, 'y')} SELECT key, seq AS bin, {r('v', 'y')} FROM j) b ON a.key = b.key AND a.bin = b.bin")
+def w02_resample_columns(spark, d):
+    return rounded(series.resample_columns(recordings(spark, d), ["v", "y"], 86400.0))
+
+
+_B, _A = (x.tolist() for x in signal.butterworth(4, 0.2, "low"))
+
+
+@query(f"""WITH RECURSIVE {_three_axes_cte()}, xk AS MATERIALIZED (SELECT key || '/' || axis AS key, seq, v FROM xa), {oracles.recursion('xk', _B, _A)}
+SELECT split_part(key, '/', 1)::BIGINT AS key, seq, {', '.join(r(f"max(y) FILTER (WHERE key LIKE '%/{c}')", c) for c in 'xyz')} FROM filtered GROUP BY 1, 2""")
+def w05_filter_columns(spark, d):
+    return rounded(series.filtered(axes(spark, d), ["x", "y", "z"], signal.low_pass))
+
+
+@query(f"""WITH RECURSIVE {_three_axes_cte()}, c AS MATERIALIZED (SELECT key || '/' || axis AS key, seq, v - avg(v) OVER (PARTITION BY key, axis) AS c FROM xa), n AS (SELECT key, count(*) AS n, sum(c * c) / count(*) AS var FROM c GROUP BY key),
+p AS (SELECT a.key, b.seq - a.seq AS seq, sum(a.c * b.c) AS s FROM c a JOIN c b ON a.key = b.key AND b.seq >= a.seq GROUP BY 1, 2),
+acf AS MATERIALIZED (SELECT p.key, p.seq, s / (var * (n - p.seq)) AS v FROM p JOIN n ON p.key = n.key WHERE var > 0), {oracles.peakdet('acf', 0.05)},
+t AS (SELECT key, top, row_number() OVER (PARTITION BY key ORDER BY top) AS i FROM pd WHERE top >= 0),
+z AS (SELECT t.key, max(v) FILTER (WHERE i = 2) AS step, max(v) FILTER (WHERE i = 3) AS stride FROM t JOIN acf ON acf.key = t.key AND acf.seq = t.top GROUP BY t.key HAVING max(i) >= 3)
+SELECT split_part(n.key, '/', 1)::BIGINT AS key, split_part(n.key, '/', 2) AS axis, {r('step', 'step')}, {r('stride', 'stride')}, {r('step - stride', 'symmetry')} FROM n LEFT JOIN z ON n.key = z.key""")
+def w14_regularity_by_axis(spark, d):
+    got = motion.regularity_by_axis(axes(spark, d), ["x", "y", "z"], 0.05)
+    flat = got.select("key", F.inline(F.arrays_zip(F.array(*map(F.lit, "xyz")).alias("axis"), "step", "stride", "symmetry")))
+    return rounded(flat.select("key", "axis", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("step", "stride", "symmetry")]))
+
+
+@query()
+def w27_gait_summary(spark, d):
+    """The sixteen fields of every walk along every axis."""
+    return motion.gait_summary(three_axes(spark, d), distance=100.0)
+
+
+@query(f"""WITH {V_CTE}, {oracles.peaks_cte()}, o AS MATERIALIZED (SELECT key, seq, prominence AS x, row_number() OVER w AS i, count(*) OVER (PARTITION BY key) AS n FROM pr WINDOW w AS (PARTITION BY key ORDER BY prominence, seq)),
+c AS (SELECT a.key, a.i AS j, var_pop(b.x) FILTER (WHERE b.i <= a.i) * a.i + var_pop(b.x) FILTER (WHERE b.i > a.i) * (a.n - a.i) AS cost FROM o a JOIN o b ON a.key = b.key WHERE a.i < a.n GROUP BY a.key, a.i, a.n),
+best AS (SELECT key, min_by(j, cost) AS j FROM c GROUP BY key) SELECT o.key, o.seq, {r('x', 'prominence')}, CASE WHEN o.i > coalesce(j, o.n) THEN 1 ELSE 0 END AS cluster FROM o LEFT JOIN best ON o.key = best.key""")
+def w30_clustered_peaks(spark, d):
+    return rounded(motion.clustered_peaks(vectors(spark, d)))
+
+
+@query()
+def w32_walks_and_turns(spark, d):
+    return motion.walks_and_turns(vectors(spark, d))
+
+
+_J = V_CTE + ", j AS MATERIALIZED (SELECT key, seq, v FROM v)"
+_SQL = registry.ORACLES
+_SPECTRAL_NAMES = lambda pre: {"fft_amplitude": f"{pre}amplitude_by_fft", "fft_frequency": f"{pre}frequency_by_fft", "welch_amplitude": f"{pre}amplitude_by_welch", "welch_frequency": f"{pre}frequency_by_welch"}
+_MAGNITUDE = {
+    "apen": (_SQL["g27_approximate_entropy"], {"apen": "approximate_entropy"}),
+    "lag8": (_SQL["g19_autocorrelation"], {"autocorrelation": "autocorrelation_lag_8"}),
+    "lag9": (_SQL["g19_autocorrelation"].replace("lead(v, 8)", "lead(v, 9)").replace("count(*) - 8", "count(*) - 9"), {"autocorrelation": "autocorrelation_lag_9"}),
+    "pacf": (_SQL["g20_partial_autocorrelation"], {f"lag{k}": f"partial_autocorrelation_lag_{k}" for k in (3, 5, 6)}),
+    "mom": (f"WITH {V_CTE} SELECT key, {r('min(v)', 'minimum')}, {r('avg(v)', 'mean')}, {r('sum(v)', 'sum_values')}, {r('sum(v * v)', 'abs_energy')} FROM v GROUP BY key", {c: c for c in ("minimum", "mean", "sum_values", "abs_energy")}),
+    "rec": (f"WITH {V_CTE}, c AS (SELECT key, v, count(*) AS n FROM v GROUP BY key, v) SELECT key, {r('count(*) / sum(n)', 'distinct_ratio')}, {r('sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n)', 'again')} FROM c GROUP BY key", {"distinct_ratio": "ratio_value_number_to_time_series_length", "again": "percentage_of_reoccurring_datapoints_to_all_datapoints"}),
+    "cor": (_SQL["g21_change_in_corridor"], {"change": "change_quantiles"}),
+    "num": (_SQL["g22_number_of_peaks"], {"peaks": "number_peaks"}),
+    "t5": (_SQL["g23_linear_trend"], {"intercept": "agg_linear_trend_min_chunk_len_5_attr_intercept"}),
+    "tv": (_SQL["g23_linear_trend_of_variance"], {"rvalue": "agg_linear_trend_var_chunk_len_10_attr_rvalue"}),
+    "t10": (_SQL["g23_linear_trend"].replace("seq // 5", "seq // 10"), {"intercept": "agg_linear_trend_min_chunk_len_10_attr_intercept"}),
+    "den": (_SQL["g24_welch_density"], {f"c{k}": f"spkt_welch_density_coeff_{k}" for k in (2, 5, 8)}),
+    "cen": (_SQL["g25_fft_centroid"], {"centroid": "fft_aggregated_centroid"}),
+    "f0": (_SQL["g26_fft_coefficient"].replace("pi() * 23", "pi() * 0"), {"re": "fft_coefficient_real_coeff_0", "magnitude": "fft_coefficient_abs_coeff_0"}),
+    "f23": (_SQL["g26_fft_coefficient"], {"re": "fft_coefficient_real_coeff_23"}),
+}
+_PARTS = {"tr": (oracles.tremor(_J, 2.0, 10.0, False), _SPECTRAL_NAMES("")), "br": (oracles.tremor(_J, 0.0, 4.0, True), _SPECTRAL_NAMES("bradykinesia_"))} | {a: (q, {c: f"magnitude_{n}" for c, n in names.items()}) for a, (q, names) in _MAGNITUDE.items()}
+TREMOR_FEATURES = [n for _, names in _PARTS.values() for n in names.values()] + [f"magnitude_fft_coefficient_abs_coeff_{k}" for k in (44, 63)]
+
+
+@query(oracles.joined(_PARTS, {f"magnitude_fft_coefficient_abs_coeff_{k}": "NULL::DOUBLE" for k in (44, 63)}).replace("num.peaks AS", "num.peaks::DOUBLE AS"))
+def g28_tremor_features(spark, d):
+    """All 34 features of every recording in one pass; coefficients that a recording is too short for are null."""
+    long = motion.tremor_features(vectors(spark, d).withColumn("td", F.col("seq") / 100.0))
+    wide = long.groupBy("key").pivot("feature", TREMOR_FEATURES).agg(F.first("value"))
+    return rounded(wide.select("key", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in TREMOR_FEATURES]))
+
+
 # implicit joins, sorting, sets
 
 
@@ -535,15 +674,12 @@ def j05_nearest_centroid(spark, d):
     return scoring.nearest_centroid(p, CENTROIDS).select("key", "score")
 
 
-KNN_TRAIN = 200
-
-
-@query(f"""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), q AS (SELECT p.vec_id AS id, t.label, list_distance(p.e, t.e) AS d, row_number() OVER (PARTITION BY p.vec_id ORDER BY list_distance(p.e, t.e), t.vec_id) AS n FROM p, p t WHERE t.vec_id < {KNN_TRAIN}),
+@query("""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), q AS (SELECT p.vec_id AS id, t.label, list_distance(p.e, t.e) AS d, row_number() OVER (PARTITION BY p.vec_id ORDER BY list_distance(p.e, t.e), t.vec_id) AS n FROM p, p t),
 m AS (SELECT *, min(d) OVER (PARTITION BY id) = 0 AS exact FROM q WHERE n <= 3), v AS (SELECT id, label, sum(CASE WHEN exact THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / d END) AS w FROM m GROUP BY id, label), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, label) AS n FROM v)
 SELECT id, label AS predicted FROM b WHERE n = 1""")
 def j06_nearest_neighbours(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
-    training = e.where(F.col("vec_id") < KNN_TRAIN).select(F.col("vec_id").alias("tid"), F.col("e").alias("q"), "label")
+    training = e.select(F.col("vec_id").alias("tid"), F.col("e").alias("q"), "label")
     return scoring.nearest_neighbours(e.select(F.col("vec_id").alias("id"), F.col("e").alias("p")), training)
 
 
@@ -577,10 +713,12 @@ def t06_latest(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").withColumn("n", F.row_number().over(w)).where("n = 1").select("o_custkey", "o_orderkey")
 
 
-@query("SELECT c_custkey AS id, c_acctbal AS a, 0.0::DOUBLE AS b FROM customer WHERE c_custkey <= 50 UNION ALL SELECT c_custkey, 0.0, c_acctbal FROM customer WHERE c_custkey BETWEEN 51 AND 90")
+@query("""WITH o AS (SELECT o_custkey AS id, round(sum(o_totalprice), 2) AS a FROM orders GROUP BY o_custkey)
+SELECT id, a, 0.0::DOUBLE AS b FROM o UNION ALL SELECT c_custkey, 0.0, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT id FROM o)""")
 def u01_append_sessions(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet")
-    return scoring.append_sessions(c.where("c_custkey <= 50").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("a")), c.where("c_custkey between 40 and 90").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("b"))).select("id", "a", "b")
+    o = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("id")).agg(F.round(F.sum("o_totalprice"), 2).alias("a"))
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("b"))
+    return scoring.append_sessions(o, c).select("id", "a", "b")
 
 
 # scalar functions
@@ -669,25 +807,62 @@ def v29_detrended_fluctuation(spark, d):
 
 @query()
 def m01_cluster_scores(spark, d):
-    p = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("key"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("p"))
+    p = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("p"))
     return scoring.nearest_centroid(scoring.whitened(p), scoring.train_clusters(p)).select("key", "score")
 
 
+@query()
+def m03_observation_scores(spark, d):
+    """A score of each of the sixteen observations for every session, by centroids of the same table."""
+    matrix = _observations(spark, d)
+    return scoring.score_observations(matrix, scoring.train_observations(matrix))
+
+
+def _observations(spark, d) -> DataFrame:
+    p = spark.read.parquet(f"{d}/embeddings.parquet")
+    return p.select(F.col("vec_id").alias("id"), *[F.col("embedding")[k].cast("double").alias(f"{scoring.CODES[k % 16]}-{k}") for k in range(64)])
+
+
+def _labels_sql(codes: range) -> str:
+    """Nearest neighbours of each code's four dimensions: whitened training rows, queries as they are."""
+    parts = []
+    for c in codes:
+        dims = [c + 16 * k + 1 for k in range(4)]
+        sd = ", ".join(f"stddev_pop(embedding[{i}]::DOUBLE) AS s{i}" for i in dims)
+        white = ", ".join(f"embedding[{i}]::DOUBLE / s{i}" for i in dims)
+        plain = ", ".join(f"embedding[{i}]::DOUBLE" for i in dims)
+        parts.append(f"""(WITH s AS (SELECT {sd} FROM embeddings), t AS (SELECT vec_id AS tid, label, [{white}] AS q FROM embeddings, s), p AS (SELECT vec_id AS id, [{plain}] AS p FROM embeddings),
+n AS (SELECT id, label, list_distance(p, q) AS d, row_number() OVER (PARTITION BY id ORDER BY list_distance(p, q), tid) AS n FROM p, t), m AS (SELECT *, min(d) OVER (PARTITION BY id) = 0 AS exact FROM n WHERE n <= 3),
+v AS (SELECT id, label, sum(CASE WHEN exact THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / d END) AS w FROM m GROUP BY id, label), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, label) AS n FROM v)
+SELECT id, label FROM b WHERE n = 1) c{c}""")
+    names = ", ".join(f'c{c}.label AS "{scoring.CODES[c]}"' for c in codes)
+    return f"SELECT c{codes[0]}.id, {names} FROM {parts[0]} " + " ".join(f"JOIN {q} ON c{c}.id = c{codes[0]}.id" for c, q in zip(codes[1:], parts[1:], strict=True))
+
+
+@query(_labels_sql(range(4)))
+def m04_clinical_labels(spark, d):
+    """Labels of four observations by three neighbours, whitened on training alone."""
+    matrix = _observations(spark, d)
+    labels = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), *[F.col("label").alias(c) for c in scoring.CODES[:4]])
+    return scoring.predict_labels(matrix, matrix, labels, scoring.CODES[:4])
+
+
 @query()
 def m05_importances(spark, d):
     p = spark.read.parquet(f"{d}/embeddings.parquet")
-    names = [f"{c}-x" for c in scoring.CODES[:8]]
+    names = [f"{scoring.CODES[k % len(scoring.CODES)]}-{k}" for k in range(64)]
     matrix = p.select("label", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
-    return scoring.top_observations(scoring.importances(matrix, "label", names, trees=20))
+    return scoring.top_observations(scoring.importances(matrix, "label", names))
 
 
-@query()
+@query(f"WITH {F_CTE} SELECT key AS id, {', '.join(f'coalesce(round({c}::DOUBLE, {n}) + 0.0, 0.0) AS {chr(34)}{o}{c}{chr(34)}' for o, c, n in [('TT-RH-', c, n) for c, n in TAP_FEATURES.items()] + [('OT-RH-', 'minimum', 4), ('OT-RH-', 'mean', 4), ('OT-RH-', 'abs_energy', 2)])} FROM tf")
 def m10_result_set(spark, d):
     """Sessions with tap and series features, one row each."""
     long = tapping.tap_features(taps(spark, d), "TT-RH-").withColumnRenamed("key", "id")
     more = series.moments(recordings(spark, d)).select(F.col("key").alias("id"), F.explode(F.create_map(*[x for c in ("minimum", "mean", "abs_energy") for x in (F.lit(f"OT-RH-{c}"), F.col(c))])).alias("feature", "value"))
-    names = [f"TT-RH-{n}" for n in ("frequency", "mean_moving_time", "incoordination_score", "mean_alnt_target_distance", "kinesia_scores", "akinesia_times", "dysmetria_score")] + [f"OT-RH-{c}" for c in ("minimum", "mean", "abs_energy")]
-    return scoring.feature_matrix(long.union(more), names)
+    digits = {f"TT-RH-{c}": n for c, n in TAP_FEATURES.items()} | {"OT-RH-minimum": 4, "OT-RH-mean": 4, "OT-RH-abs_energy": 2}
+    matrix = scoring.feature_matrix(long.union(more), list(digits)).withColumn("TT-RH-incoordination_score", F.col("TT-RH-incoordination_score") / 1e9)
+    return matrix.select("id", *[(F.round(F.col(f"`{c}`"), n) + 0.0).alias(c) for c, n in digits.items()])
 
 
 registry.FLAGSHIP = w09_tremor_amplitude

@@ -134,17 +134,28 @@ READERS: dict[str, Callable] = {
 }
 
 
-def read_recording(spark: SparkSession, path: str, fmt: str = "cloudupdrs", **options) -> DataFrame:
-    """Rows of all recordings under ``path``; a name that isn't known is read like the default format."""
+def read_recording(spark: SparkSession, path: str, fmt: str = "cloudupdrs", strict: bool = False, **options) -> DataFrame:
+    """Rows of all recordings under ``path``; a name that isn't known is read like the default format, or with ``strict`` refused."""
+    if strict and fmt not in READERS:
+        raise ValueError(f"no format {fmt!r}; known: {', '.join(READERS)}")
     return READERS.get(fmt, cloudupdrs)(spark, path, **options)
 
 
-def read_audio(spark: SparkSession, path: str, rate: int = 44_100) -> DataFrame:
-    """``path, fs, samples array<float>``: WAV files by their header, other files as raw 16-bit mono at ``rate``."""
-    from motionloom.functions.audio import decode
+def read_audio(spark: SparkSession, path: str | list[str], rate: int = 44_100) -> DataFrame:
+    """``path, fs, samples array<float>``: WAV files by their header, other files as raw 16-bit mono at ``rate``. One file at a time is decoded."""
 
-    udf = F.udf(lambda b: decode(bytes(b), rate), "fs int, samples array<float>")
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", udf("content").alias("a")).select("path", "a.*")
+    def run(batches):
+        import pyarrow as pa
+
+        from motionloom.functions.audio import decode
+
+        for b in batches:
+            for name, content in zip(b.column(0), b.column(1), strict=True):
+                fs, samples = decode(content.as_py(), rate)
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([fs], pa.int32()), pa.array([samples], pa.list_(pa.float32()))], names=["path", "fs", "samples"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInArrow(run, "path string, fs int, samples array<float>")
 
 
 RANGES = {

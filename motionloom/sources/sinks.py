@@ -16,3 +16,8 @@ def write_features(df: DataFrame, path: str, fmt: str = "csv", plain_names: bool
         df.write.mode("overwrite").saveAsTable(path)
     else:
         df.write.mode("overwrite").option("header", True).format(fmt).save(path)
+
+
+def write_scores(scores: DataFrame, path: str, fmt: str = "csv") -> None:
+    """Scores of every row in order of ``id``, one file with a header ``id,<codes>`` (as many rows as sessions)."""
+    scores.orderBy("id").coalesce(1).write.mode("overwrite").option("header", True).format(fmt).save(path)
