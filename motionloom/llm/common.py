@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +70,51 @@ def input_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text_col)))).head()[0] or 0)
 
 
+def freed(run):
+    """``run``, a function over a task's batches, that gives its memory back to the system when it ends: workers live on for other stages."""
+
+    @wraps(run)
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it keeps
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
+#: Partial sums that one task adds up, and how often: FAN_IN ** LEVELS partitions leave one sum each.
+FAN_IN, LEVELS = 64, 3
+
+
+def tree_sum(df: DataFrame, size: int, one) -> np.ndarray:
+    """Sum over all batches of ``one(batch)``, an array of ``size``: by partition, then FAN_IN partial sums a task, level by level.
+
+    However many partitions there are, no task adds more than FAN_IN sums, and the driver gets one for each
+    FAN_IN ** LEVELS partitions.
+    """
+
+    def part(batches):
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                total += one(b)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["k", "s"])
+
+    def more(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zstandard.decompress(x))
+                total[k] = total[k] + own if k in total else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([zstandard.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["k", "s"])
+
+    sums = df.mapInArrow(part, "k long, s binary")
+    for _ in range(LEVELS):
+        sums = sums.select(F.floor(F.col("k") / FAN_IN).alias("k"), "s").repartition("k").mapInArrow(more, "k long, s binary")
+    return np.sum([np.zeros(size), *(np.frombuffer(zstandard.decompress(r["s"])) for r in sums.collect())], axis=0)
+
+
 def id_crc_mod(id_col: str, mod: int):
     """crc32 of the id written as text, modulo ``mod`` (null id: crc32 of the empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motionloom.llm.common import connected_components, input_bytes, materialise
+from motionloom.llm.common import connected_components, freed, input_bytes, materialise
 from motionloom.llm.shingles import mix, shingle_set
 
 PARTS, MISS, SLACK = 3, 1, 1
@@ -283,8 +283,8 @@ def candidates(docs: DataFrame, percent: int, words: int, buckets: int) -> DataF
                     yield passed
         yield from held.groups()
 
-    signed = docs.mapInArrow(sign, "kind int, bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
-    return materialise(signed.mapInArrow(meet, WORK), "partenum")
+    signed = docs.mapInArrow(freed(sign), "kind int, bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    return materialise(signed.mapInArrow(freed(meet), WORK), "partenum")
 
 
 def _info_batch(plain: bytes) -> pa.RecordBatch:
@@ -390,7 +390,7 @@ def _walks(groups: DataFrame, key: str, value: str, percent: int, words: int | N
             yield batch()
 
     keyed = groups.select(key, "low", "high", "id", "n", value).repartition(key, "low", "high").sortWithinPartitions(key, "low", "high", "id")
-    return keyed.mapInArrow(run, "a long, b long")
+    return keyed.mapInArrow(freed(run), "a long, b long")
 
 
 def similar_components(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motionloom.llm.common import materialise
+from motionloom.llm.common import freed, materialise
 
 #: Bytes that a worker's cache of encoded units may take; characters in a block of texts and in a call of the tokenizer.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 64 << 20
 BLOCK_CHARS, CALL_CHARS = 8_000_000, 100_000
 #: Texts with other characters than Latin-1, or with what may be a special token, keep their case until they are encoded.
 KEEPS_CASE = r"[^\x{00}-\x{ff}]|<\|"
@@ -123,9 +123,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            rules = json.load(f)
-        self.by_words = all(rules.get(k) == v for k, v in BY_WORDS.items()) and not rules.get("truncation") and not rules.get("padding")
+        rules = {k: part and json.loads(part.__getstate__()) for k, part in (("normalizer", self.tokenizer.normalizer), ("pre_tokenizer", self.tokenizer.pre_tokenizer))}
+        self.by_words = rules == BY_WORDS and not self.tokenizer.truncation and not self.tokenizer.padding
         mark = self._direct([MARK])[0]
         self.mark = int(mark[0]) if len(mark) == 1 else None
         self.clear()
@@ -227,7 +226,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
                 types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types))], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(freed(run), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -256,7 +255,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             i = rank - row[:, 1]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), pa.array(row[:, 3] + i // row[:, 4]), pa.array(row[:, 5] + (i % row[:, 4]) * length)], names=schema.names)
 
-    return joined.mapInArrow(place, schema)
+    return joined.mapInArrow(freed(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

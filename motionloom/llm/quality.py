@@ -1,8 +1,9 @@
 """Quality scores: ridge regression on random Fourier features of document statistics, then isotonic calibration.
 
 The features are cosines at fixed random frequencies, whose inner products approximate a Gaussian kernel over
-standardised statistics. Each partition sums its normal equations; sums of equal shape are added up in a second,
-small stage before they reach the driver. Nothing but the text is an input.
+standardised statistics. Each partition sums its normal equations; the sums are added up in a tree of tasks. The
+calibration curve is fitted on scores that no row had a part in: rows fall into CROSS parts by their id, and each
+part is scored by weights of the others. Nothing but the text is an input.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from motionloom.llm.calibrate import isotonic
-from motionloom.llm.common import id_crc_mod, materialise
+from motionloom.llm.common import id_crc_mod, materialise, tree_sum
 
 MARKS = "|!%#*&$.,"
 N_STATS = 10 + len(MARKS)
 N_FEATURES = 256
 RIDGE = 1e-4
 BINS = 1000
-SUM_TASKS = 16
+#: Parts of the training rows; each is calibrated by weights that were fitted without it.
+CROSS = 4
 UPPER_B, LOWER_B, DIGIT_B = slice(65, 91), slice(97, 123), slice(48, 58)
 
 
@@ -68,27 +70,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _summed(df: DataFrame, size: int, one) -> np.ndarray:
-    """Sum over all rows of ``one(batch)``, an array of ``size``: by partition, then by SUM_TASKS tasks, then here."""
-
-    def part(batches):
-        total = np.zeros(size)
-        for b in batches:
-            if b.num_rows:
-                total += one(b)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
-
-    def more(batches):
-        total = np.zeros(size)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.frombuffer(x)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
-
-    got = df.mapInArrow(part, "s binary").repartition(SUM_TASKS).mapInArrow(more, "s binary").collect()
-    return np.sum([np.frombuffer(r["s"]) for r in got], axis=0)
-
-
 class QualityModel:
     """Standardisation, frequencies, ridge weights and calibration; a few hundred numbers, whatever the corpus."""
 
@@ -104,23 +85,23 @@ class QualityModel:
         z = np.clip((stats - self.mean) / self.sd, -8, 8)
         return np.hstack([np.cos(z @ self.freq + self.phase) * math.sqrt(2 / N_FEATURES), np.ones((len(z), 1))])
 
-    def bins(self, stats: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint((self.features(stats) @ self.weights + 0.5) / 2 * (BINS - 1)), 0, BINS - 1).astype(int)
+    def bins(self, stats: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.clip(np.rint((self.features(stats) @ (self.weights if weights is None else weights) + 0.5) / 2 * (BINS - 1)), 0, BINS - 1).astype(int)
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return self.curve[self.bins(stats)]
 
 
 def fit(labelled: DataFrame, seed: int = 17) -> QualityModel:
-    """Fit on all rows of ``stats, y`` (y 0 or 1): moments, normal equations and calibration counts, each a summed pass."""
+    """Fit on all rows of ``stats, y (0 or 1), part (below CROSS)``: moments, normal equations and calibration counts, each a summed pass."""
     m = QualityModel(seed)
-    both = lambda b: (_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(float))
+    columns = lambda b: (_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(float), b.column(2).to_numpy(zero_copy_only=False))
 
     def moments(b):
-        x, _ = both(b)
+        x, _, _ = columns(b)
         return np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
 
-    s = _summed(labelled, 1 + 2 * N_STATS, moments)
+    s = tree_sum(labelled, 1 + 2 * N_STATS, moments)
     n = max(s[0], 1.0)
     m.mean = s[1 : 1 + N_STATS] / n
     sd = np.sqrt(np.maximum(s[1 + N_STATS :] / n - m.mean**2, 0))
@@ -128,19 +109,29 @@ def fit(labelled: DataFrame, seed: int = 17) -> QualityModel:
     k = N_FEATURES + 1
 
     def normal(b):
-        x, y = both(b)
-        f = m.features(x)
-        return np.concatenate([(f.T @ f).ravel(), f.T @ y])
+        x, y, part = columns(b)
+        out = np.zeros((CROSS, k * k + k + 1))
+        for p in range(CROSS):
+            f = m.features(x[part == p])
+            out[p] = np.concatenate([(f.T @ f).ravel(), f.T @ y[part == p], [len(f)]])
+        return out.ravel()
+
+    parts = tree_sum(labelled, CROSS * (k * k + k + 1), normal).reshape(CROSS, -1)
+
+    def solved(s: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(s[: k * k].reshape(k, k) + RIDGE * max(s[-1], 1.0) * np.eye(k), s[k * k : -1])
 
-    s = _summed(labelled, k * k + k, normal)
-    m.weights = np.linalg.solve(s[: k * k].reshape(k, k) + RIDGE * n * np.eye(k), s[k * k :])
+    m.weights = solved(parts.sum(0))
+    others = [solved(parts.sum(0) - own) for own in parts]
 
     def counts(b):
-        x, y = both(b)
-        at = m.bins(x)
+        x, y, part = columns(b)
+        at = np.zeros(len(x), int)
+        for p in range(CROSS):
+            at[part == p] = m.bins(x[part == p], others[p])
         return np.concatenate([np.bincount(at, y, BINS), np.bincount(at, minlength=BINS)])
 
-    s = _summed(labelled, 2 * BINS, counts)
+    s = tree_sum(labelled, 2 * BINS, counts)
     m.curve = isotonic(s[:BINS], s[BINS:])
     return m
 
@@ -149,12 +140,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
     """Score every row: ``id_col, held_out boolean, score double, predicted int``.
 
     Learns from labelled rows whose crc32(id as text) mod ``folds`` is not ``fold``; those of that remainder are
-    ``held_out``. Null text counts as empty and is scored like one; a null id is never labelled; repeated rows are
+    ``held_out``. Of labels that an id has twice the larger counts. Texts of any length are read whole. Null text counts as empty and is scored like one; a null id is never labelled; repeated rows are
     scored as often as they stand; without any usable label every score is 0.5; an empty table gives no rows.
     """
     stats = statistics_table(docs, id_col, text_col)
     usable = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("y"))
-    train = stats.where(id_crc_mod(id_col, folds) != fold).join(usable, F.col(id_col) == F.col("__id")).select("stats", "y")
+    train = stats.where(id_crc_mod(id_col, folds) != fold).join(usable, F.col(id_col) == F.col("__id")).select("stats", "y", F.pmod(F.xxhash64(id_col), F.lit(CROSS)).cast("int").alias("part"))
     model = fit(train, seed)
     schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motionloom.llm.common import materialise
+from motionloom.llm.common import freed, materialise
 from motionloom.llm.shingles import mix, powers, prefix_hash
 
 LENGTH, K = 100, 40
@@ -300,7 +300,7 @@ def _find(rows: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
         for b, x in _cut(_row_bucket(row[ask], buckets), row[ask], g[ask], at[ask], low[ask], high[ask]):
             yield _batch([(ASK, b, _blob(*x))])
 
-    return materialise(rows.mapInArrow(mark, BLOCKS).repartition("bucket").mapInArrow(meet, BLOCKS), "anchors")
+    return materialise(rows.mapInArrow(freed(mark), BLOCKS).repartition("bucket").mapInArrow(freed(meet), BLOCKS), "anchors")
 
 
 def _texts(rows: DataFrame, buckets: int) -> DataFrame:
@@ -325,7 +325,7 @@ def _texts(rows: DataFrame, buckets: int) -> DataFrame:
                     yield _batch([block(b)])
         yield _batch([block(b) for b in list(held)])
 
-    return rows.mapInArrow(pack, BLOCKS)
+    return rows.mapInArrow(freed(pack), BLOCKS)
 
 
 def _unpack_texts(blob: bytes) -> Iterator[tuple[int, bytes]]:
@@ -431,7 +431,7 @@ def _compared(found: DataFrame, texts: DataFrame, length: int, buckets: int) ->
             yield _batch([(SPAN, k, _blob(*x))])
 
     asked = found.where(f"kind = {ASK}").union(texts)
-    return materialise(asked.repartition("bucket").mapInArrow(send, BLOCKS).repartition("bucket").mapInArrow(compare, BLOCKS), "compared")
+    return materialise(asked.repartition("bucket").mapInArrow(freed(send), BLOCKS).repartition("bucket").mapInArrow(freed(compare), BLOCKS), "compared")
 
 
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -531,4 +531,4 @@ def _removed(plain: DataFrame, length: int, k: int, buckets: int | None, with_te
             yield _results(rows)
 
     every = found.where(f"kind = {SPAN}").union(compared).union(texts)
-    return every.repartition("bucket").mapInArrow(apply, schema)
+    return every.repartition("bucket").mapInArrow(freed(apply), schema)
