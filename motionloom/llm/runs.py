@@ -64,7 +64,7 @@ def repeated_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # written before it is joined: the join's own exchange can then be split where one line has very many positions
     picked = materialise(w.groupBy("row", "anchor", "place").agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count("one").alias("n")).where("n > 1").select("anchor"), "anchors")
     met = w.join(picked, "anchor", "left_semi").select("row", "at", "m", "key")
-    first = met.groupBy("key").agg(F.min(F.struct("row", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = materialise(met.groupBy("key").agg(F.min(F.struct("row", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     later = met.join(first, "key").where(F.struct("row", "at") > F.col("first"))
     return later.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("m") - 1)))).alias("gone"))
 
