@@ -1,38 +1,45 @@
-"""Language-model scores: a log-bilinear model over word classes, trained with noise-contrastive estimation in numpy.
+"""Language-model scores: a log-bilinear neural model over word classes, trained with noise-contrastive estimation in numpy.
 
 Words are 64-bit hashes. The most frequent words are classes of their own, all others share a class by their first two
-bytes and their last. Every word's probability is that of its class after the class before it, times its share of
-the class; a class keeps half a count for words it has never seen, so probabilities sum to one. The class
-model scores a pair by the product of a context vector (the previous class's, through a square matrix) and a target
-vector, plus a bias; its parameters maximise the noise-contrastive objective, with the unigram as noise, over the
-pair counts of the whole training corpus, the expectation over noise taken exactly. One batched matrix product then
-gives the normalised log-probabilities of all pairs.
+bytes and their last. Every word's probability is that of its class after the POSITIONS classes before it, times its
+share of the class; a class keeps half a count for words it has never seen, so probabilities sum to one. The model
+adds the vectors of the classes before, each through the square matrix of its position, and scores a class by the
+product of that context with its target vector, plus a bias.
+
+Training sees every token of the training rows. It starts from a fit to a bounded number of rows on the driver; from
+there each task goes once through its own tokens, in batches with NOISE_DRAWS classes drawn from the unigram as noise,
+and the tasks' parameters are averaged by their tokens, in a tree. Scoring multiplies batches of contexts with all target
+vectors, which gives exactly normalised log-probabilities.
 
 Counts of words cover all training rows and stay distributed. What workers get is bounded: the frequent words
-(FREQUENT at most) and the class tables (CLASSES squared). Other words are looked up by a join.
+(FREQUENT at most) and the parameters. Other words are looked up by a join.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionloom.llm.common import LOWER, UPPER, id_crc_mod, materialise
+from motionloom.llm.common import LOWER, UPPER, freed, id_crc_mod, materialise, tree_sum
 from motionloom.llm.shingles import _SPACE, mix, powers, prefix_hash
 
-WORDS, GROUPS = 512, 256
+WORDS, GROUPS = 256, 128
 CLASSES = WORDS + GROUPS + 1
 END_CLASS = CLASSES - 1
 FREQUENT = 1 << 17
-DIM, NOISE, STEPS, RATE = 32, 16, 250, 0.05
-SUM_TASKS = 16
+#: Classes before a word that are its context; length of a vector; noise words a token, and drawn for a batch of BATCH tokens.
+POSITIONS, DIM, NOISE, NOISE_DRAWS, BATCH = 6, 16, 16, 32, 2048
+#: Tokens whose scores against all classes are held at once; small enough for a processor's cache.
+SCORED = 512
+#: Rows and passes of the first fit on the driver; rates of the first fit and of the tasks, each falling to a tenth.
+WARM_ROWS, WARM_PASSES, WARM_RATE, RATE = 4000, 4, 0.03, 0.005
 CHUNK = 4_000_000
 END_HASH = np.uint64(0x5EED0E0D)
 FOLD = np.arange(256, dtype=np.uint8)
@@ -79,8 +86,109 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "h long, g int, c long").groupBy("h", "g").agg(F.sum("c").alias("c"))
 
 
+class Bilinear:
+    """Parameters of the class model: vectors before (r) and after (t), a matrix for each position (m), biases (b)."""
+
+    def __init__(self, unigram: np.ndarray, seed: int = 11):
+        n, g = len(unigram), np.random.default_rng(seed)
+        self.unigram = unigram
+        self.p = {"r": g.normal(0, 0.1, (n, DIM)), "m": np.stack([np.eye(DIM) / (j + 1) for j in range(POSITIONS)]), "t": g.normal(0, 0.1, (n, DIM)), "b": np.log(unigram)}
+        self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
+
+    def size(self) -> int:
+        return sum(x.size for x in self.p.values())
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.p.values()]).astype(float)
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for k, x in self.p.items():
+            self.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+            at += x.size
+
+    def gradients(self, before: np.ndarray, c: np.ndarray, noise: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean noise-contrastive loss of tokens ``c`` after ``before`` (a column for each position), against drawn classes ``noise``."""
+        p, n = self.p, len(self.unigram)
+        moved = p["r"] @ p["m"]
+        h = moved[0][before[:, 0]]
+        for j in range(1, POSITIONS):
+            h = h + moved[j][before[:, j]]
+        level = (np.log(NOISE * self.unigram)).astype(np.float32)
+        own = (h * p["t"][c]).sum(1) + p["b"][c] - level[c]
+        drawn = h @ p["t"][noise].T + (p["b"] - level)[noise]
+        g = -1 / (1 + np.exp(np.clip(own, -30, 30)))
+        gn = (NOISE / len(noise)) / (1 + np.exp(np.clip(-drawn, -30, 30)))
+        g, gn = g / len(c), gn / len(c)
+        dh = g[:, None] * p["t"][c] + gn @ p["t"][noise]
+        t = _scatter(c, g[:, None] * h, n)
+        np.add.at(t, noise, gn.T @ h)
+        b = np.bincount(c, g, n) + np.bincount(noise, gn.sum(0), n)
+        each = np.stack([_scatter(before[:, j], dh, n) for j in range(POSITIONS)])
+        return {"r": sum(each[j] @ p["m"][j].T for j in range(POSITIONS)), "m": p["r"].T @ each, "t": t, "b": b}
+
+    def learn(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate, seed: int) -> None:
+        """One step of Adam for each batch; ``rate(k)`` is the rate of step k (from 1)."""
+        g = np.random.default_rng(seed)
+        edge = np.cumsum(self.unigram) / self.unigram.sum()
+        one, two = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        for step, (before, c) in enumerate(batches, 1):
+            noise = np.minimum(np.searchsorted(edge, g.random(NOISE_DRAWS)), len(edge) - 1)
+            for k, x in self.gradients(before, c, noise).items():
+                one[k] = 0.9 * one[k] + 0.1 * x
+                two[k] = 0.99 * two[k] + 0.01 * x * x
+                self.p[k] = (self.p[k] - rate(step) * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+
+    def log_probabilities(self, c: np.ndarray) -> np.ndarray:
+        """log10 probability of each class of a whole sequence after those before it, normalised over all classes."""
+        before, moved, out = contexts(c), self.p["r"] @ self.p["m"], np.empty(len(c))
+        targets, scores = np.ascontiguousarray(self.p["t"].T), np.empty((min(SCORED, len(c)), len(self.unigram)), np.float32)
+        for i in range(0, len(c), SCORED):
+            part, own = before[i : i + SCORED], c[i : i + SCORED]
+            h = moved[0][part[:, 0]]
+            for j in range(1, POSITIONS):
+                h += moved[j][part[:, j]]
+            s = np.matmul(h, targets, out=scores[: len(own)])
+            s += self.p["b"]
+            picked = s[np.arange(len(own)), own].astype(float)
+            top = s.max()
+            s -= top
+            np.exp(s, out=s)
+            out[i : i + SCORED] = picked - top - np.log(np.maximum(s.sum(1), 1e-30))
+        return out / math.log(10)
+
+
+def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by number ``at``, as an array of n rows."""
+    d = rows.shape[1]
+    return np.bincount((at[:, None] * d + np.arange(d)).ravel(), rows.ravel(), n * d).reshape(n, d)
+
+
+def contexts(c: np.ndarray) -> np.ndarray:
+    """The classes before each token, nearest first; before the start stands the end's."""
+    padded = np.concatenate([np.full(POSITIONS, END_CLASS), c])
+    return np.stack([padded[POSITIONS - j : POSITIONS - j + len(c)] for j in range(1, POSITIONS + 1)], axis=1)
+
+
+def batched(sequences: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(contexts, classes) of BATCH tokens at a time, and the rest."""
+    xs, cs, held = [], [], 0
+    for c in sequences:
+        xs.append(contexts(c))
+        cs.append(c)
+        held += len(c)
+        if held >= BATCH:
+            x, y = np.concatenate(xs), np.concatenate(cs)
+            whole = held - held % BATCH
+            for i in range(0, whole, BATCH):
+                yield x[i : i + BATCH], y[i : i + BATCH]
+            xs, cs, held = [x[whole:]], [y[whole:]], held - whole
+    if held:
+        yield np.concatenate(xs), np.concatenate(cs)
+
+
 class Model:
-    """Frequent words (sorted hashes, counts, classes) and the table of class log-probabilities, base 10."""
+    """Frequent words (sorted hashes, counts, classes), the masses of classes and the class model."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, v: int, mass: np.ndarray):
         order = np.argsort(hashes)
@@ -92,7 +200,10 @@ class Model:
         self.own = own[order]
         self.n, self.v = n, v
         self.mass = mass  # of each class: what its words' counts, each plus a half, and the half of the unseen come to
-        self.table = np.zeros((CLASSES, CLASSES), np.float32)
+        unigram = mass.copy()
+        unigram[np.arange(len(ranked))] = counts[ranked] + 0.5
+        unigram[END_CLASS] = counts[hashes == END_HASH].sum() + 0.5
+        self.classes = Bilinear(unigram / unigram.sum())
 
     def look_up(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class, count) of tokens; count -1 where the word isn't among the frequent ones."""
@@ -104,89 +215,71 @@ class Model:
         return np.where(own >= 0, own, group), np.where(hit, self.counts[at], -1)
 
 
-def fit_table(pairs: np.ndarray, steps: int = STEPS, seed: int = 11) -> np.ndarray:
-    """Normalised log10 probabilities (row: previous class) of a log-bilinear model fitted to pair counts."""
-    n, r = len(pairs), np.random.default_rng(seed)
-    total = max(pairs.sum(), 1.0)
-    unigram = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * n)
-    before = pairs.sum(1) / total
-    data = pairs / total
-    p = {"r": r.normal(0, 0.1, (n, DIM)), "c": np.eye(DIM), "t": r.normal(0, 0.1, (n, DIM)), "b": np.log(unigram)}
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    noise = np.log(NOISE * unigram)
-    weight = NOISE * before[:, None] * unigram[None, :]
-    for step in range(1, steps + 1):
-        context = p["r"] @ p["c"]
-        s = context @ p["t"].T + p["b"]
-        is_data = 1 / (1 + np.exp(np.clip(noise - s, -40, 40)))
-        g = data * (1 - is_data) - weight * is_data
-        gt = g @ p["t"]
-        grad = {"r": gt @ p["c"].T, "c": p["r"].T @ gt, "t": g.T @ context, "b": g.sum(0)}
-        rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * grad[k]
-            v[k] = 0.99 * v[k] + 0.01 * grad[k] ** 2
-            p[k] = p[k] + rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-    s = p["r"] @ p["c"] @ p["t"].T + p["b"]
-    s -= s.max(1, keepdims=True)
-    return (s - np.log(np.exp(s).sum(1, keepdims=True))) / math.log(10)
-
-
-def _pair_counts(train: DataFrame, model: Model) -> np.ndarray:
-    """Counts of (class before, class) over all training rows, summed by task, by SUM_TASKS tasks, and here."""
-    size = CLASSES * CLASSES
-
-    def part(batches):
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                c, _ = model.look_up(*tokens(t or b""))
-                total += np.bincount(np.append(END_CLASS, c[:-1]) * CLASSES + c, minlength=size) if len(c) > 50_000 else 0
-                if len(c) <= 50_000:
-                    np.add.at(total, np.append(END_CLASS, c[:-1]) * CLASSES + c, 1)
-        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["s"])
-
-    def more(batches):
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                total += np.frombuffer(zstandard.decompress(x), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["s"])
+def _falling(rate: float, steps: int):
+    return lambda k: rate * max(0.1, 1 - 0.9 * k / max(steps, 1))
+
+
+def _learn(train: DataFrame, model: Model) -> None:
+    """Fit the class model: first on the rows with the least hashes, WARM_ROWS of them, then on all rows, task by task, and the mean."""
+    start = [model.look_up(*tokens((r[0] or "").encode()))[0] for r in train.orderBy(F.xxhash64("text"), "text").limit(WARM_ROWS).collect()]
+    if not start:
+        return
+    steps = WARM_PASSES * -(-sum(map(len, start)) // BATCH)
+    g = np.random.default_rng(5)
+    order = [k for _ in range(WARM_PASSES) for k in g.permutation(len(start))]
+    model.classes.learn(batched(start[k] for k in order), _falling(WARM_RATE, steps), 1)
+    size = model.classes.size()
+
+    def own(batches):
+        mine, total = copy.deepcopy(model.classes), 0
+
+        def sequences():
+            nonlocal total
+            for b in batches:
+                for t in b.column(0).cast(pa.binary()).to_pylist():
+                    c, _ = model.look_up(*tokens(t or b""))
+                    total += len(c)
+                    yield c
+
+        mine.learn(batched(sequences()), _falling(RATE, 400), 2 + TaskContext.get().partitionId())
+        yield pa.RecordBatch.from_arrays([pa.array([(np.append(mine.flat(), 1.0) * total).tobytes()], pa.binary())], names=["s"])
 
-    got = train.mapInArrow(part, "s binary").repartition(SUM_TASKS).mapInArrow(more, "s binary").collect()
-    return np.sum([np.frombuffer(zstandard.decompress(r["s"]), np.int64) for r in got], axis=0).reshape(CLASSES, CLASSES).astype(float)
+    read = train.mapInArrow(freed(own), "s binary")
+    total = tree_sum(read, size + 1, lambda b: np.sum([np.frombuffer(x) for x in b.column(0).to_pylist()], axis=0))
+    if total[-1]:
+        model.classes.load(total[:-1] / total[-1])
 
 
-def train_model(train: DataFrame, counts: DataFrame, steps: int = STEPS) -> Model:
-    """Fit on the rows of ``text``; ``counts`` is their written table of word counts."""
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
-    h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    c = np.array([r["c"] for r in top], np.int64)
+def train_model(train: DataFrame, counts: DataFrame) -> Model:
+    """Fit on the rows of ``text``; ``counts`` is their written table of word counts. The driver gets FREQUENT rows of three numbers."""
+    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h", "g", "c").toArrow()
+    h, group, c = (top.column(k).to_numpy() for k in range(3))
+    h, c = h.view(np.uint64).copy(), c.astype(np.int64)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ranked = [k for k in np.lexsort((h, -c)) if h[k] != END_HASH][:WORDS]
     mass = np.full(CLASSES, 0.5)
     for r in counts.groupBy("g").agg(F.sum(F.col("c") + 0.5).alias("m")).collect():
         mass[r["g"]] += r["m"]
-    groups = {int(r["h"]): int(r["g"]) for r in top}
     for k in ranked:
-        mass[groups[int(h[k : k + 1].view(np.int64)[0])]] -= c[k] + 0.5
+        mass[group[k]] -= c[k] + 0.5
     model = Model(h, c, int(n), int(v), mass)
-    model.table = fit_table(_pair_counts(train, model), steps).astype(np.float32)
+    _learn(train, model)
     return model
 
 
-def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every row: ``id_col, held_out boolean, n_tokens, n_known, train_tokens long, base_score, score double``.
 
     Learns from the rows whose crc32(id as text) mod ``folds`` is not ``fold``. Tokens: words (A-Z lower-cased, ASCII
     white space separates), then one end. ``base_score`` is the sum of log10((c + 0.5) / (N + 0.5 (V + 1))), ``score`` the
     model's log10 probability of the text. Null text counts as empty: one token, the end. A null id counts as empty
-    text for the fold; repeated rows are counted and scored as often as they stand; an empty table gives no rows.
+    text for the fold; repeated rows are counted and scored as often as they stand; texts of any length are read whole; an
+    empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     train = base.where(id_crc_mod("id", folds) != fold).select("text")
     counts = materialise(_word_counts(train), "words")
-    model = train_model(train, counts, steps)
+    model = train_model(train, counts)
     share = np.log10(model.mass)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -200,7 +293,7 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str
                 known = n >= 0
                 logs = float(np.log10(n[known] + 0.5).sum())
                 inside = (c >= WORDS) & (c != END_CLASS)
-                word = float(model.table[np.append(END_CLASS, c[:-1]), c].sum(dtype=np.float64)) - float(share[c[inside]].sum())
+                word = float(model.classes.log_probabilities(c).sum()) - float(share[c[inside]].sum())
                 word += float(np.log10(n[known & inside] + 0.5).sum())
                 rest, many = np.unique(h[~known], return_counts=True)
                 rows.append((part + k, len(h), int(known.sum()), logs, word))
@@ -211,7 +304,7 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), b.column(0), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4]), pa.array([x.tolist() for x in hs], pa.list_(pa.int64())), pa.array([x.tolist() for x in ns], pa.list_(pa.int64()))], names=["row", "id", "n_tokens", "n_known", "logs", "word", "rest", "many"])
 
-    scored = materialise(base.mapInArrow(run, f"row long, id {id_type}, n_tokens long, n_known long, logs double, word double, rest array<long>, many array<long>"), "scored")
+    scored = materialise(base.mapInArrow(freed(run), f"row long, id {id_type}, n_tokens long, n_known long, logs double, word double, rest array<long>, many array<long>"), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rest", "many")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.many").alias("m"))
     seen = rare.join(counts.select("h", "c"), "h", "left").select("row", "m", F.coalesce("c", F.lit(0)).alias("c"))
     more = seen.groupBy("row").agg(F.sum(F.col("m") * F.log10(F.col("c") + 0.5)).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k"))

@@ -30,31 +30,76 @@ def rows_of(df):
 @pytest.mark.parametrize("frequent", [1 << 17, 5])
 def test_counts_and_base_scores(spark, rng, monkeypatch, frequent):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
-    monkeypatch.setattr(lm, "WORDS", 512)
     rows = [(k, " ".join(rng.choice("the The cat dog é sat on mat a1 b2").strip() + str(rng.randrange(3)) * rng.randrange(2) for _ in range(rng.randint(0, 30)))) for k in range(120)]
-    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), steps=20)
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert rows_of(got) == brute(rows)
 
 
 def test_scores_of_odd_rows(odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
-    got = lm.score_documents(odd_docs, steps=20)
+    got = lm.score_documents(odd_docs)
     assert rows_of(got) == brute(rows)
     assert all(r["score"] < 0 for r in got.collect())
-    assert lm.score_documents(no_docs, steps=2).count() == 0
-
-
-def test_probabilities_sum_to_one(rng):
-    pairs = np.array([[rng.randrange(50) for _ in range(30)] for _ in range(30)], float)
-    t = lm.fit_table(pairs, steps=30)
-    assert np.allclose((10**t).sum(1), 1)
+    assert lm.score_documents(no_docs).count() == 0
+
+
+def some_model(rng, n=7):
+    u = np.array([rng.random() + 0.1 for _ in range(n)])
+    b = lm.Bilinear(u / u.sum(), seed=3)
+    g = np.random.default_rng(1)
+    b.p = {k: (x + g.normal(0, 0.5, x.shape)).astype(np.float32) for k, x in b.p.items()}
+    return b
+
+
+def test_class_probabilities_are_normalised_products(rng, monkeypatch):
+    monkeypatch.setattr(lm, "SCORED", 5)
+    monkeypatch.setattr(lm, "END_CLASS", 6)
+    b = some_model(rng)
+    c = np.array([rng.randrange(7) for _ in range(23)])
+    before = [6] * lm.POSITIONS + c.tolist()
+    for i, x in enumerate(b.log_probabilities(c)):
+        h = sum(b.p["r"][before[i + lm.POSITIONS - 1 - j]].astype(float) @ b.p["m"][j] for j in range(lm.POSITIONS))
+        s = b.p["t"].astype(float) @ h + b.p["b"]
+        assert x == pytest.approx((s[c[i]] - np.log(np.exp(s).sum())) / math.log(10), abs=1e-4)
+    every = [10 ** b.log_probabilities(np.append(c[:9], k))[-1] for k in range(7)]
+    assert sum(every) == pytest.approx(1, abs=1e-5)
+
+
+def test_gradients_are_those_of_the_noise_contrastive_loss(rng):
+    b = some_model(rng)
+    g = np.random.default_rng(2)
+    before, c, noise = g.integers(0, 7, (11, lm.POSITIONS)), g.integers(0, 7, 11), g.integers(0, 7, 4)
+
+    def loss(p):
+        h = sum(p["r"][before[:, j]] @ p["m"][j] for j in range(lm.POSITIONS))
+        level = np.log(lm.NOISE * b.unigram)
+        d = (h * p["t"][c]).sum(1) + p["b"][c] - level[c]
+        n = h @ p["t"][noise].T + (p["b"] - level)[noise]
+        return (np.log1p(np.exp(-d)) + lm.NOISE / len(noise) * np.log1p(np.exp(n)).sum(1)).mean()
+
+    exact = {k: x.astype(float) for k, x in b.p.items()}
+    for k, x in b.gradients(before, c, noise).items():
+        for at in [tuple(g.integers(0, n) for n in x.shape) for _ in range(12)]:
+            up, down = ({q: y.copy() for q, y in exact.items()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert x[at] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=2e-4), k
+
+
+def test_batches_hold_every_token_once(rng, monkeypatch):
+    monkeypatch.setattr(lm, "BATCH", 7)
+    sequences = [np.array([rng.randrange(5) for _ in range(rng.randint(1, 20))]) for _ in range(30)]
+    got = list(lm.batched(iter(sequences)))
+    assert np.concatenate([c for _, c in got]).tolist() == np.concatenate(sequences).tolist()
+    assert np.concatenate([x for x, _ in got]).tolist() == np.concatenate([lm.contexts(c) for c in sequences]).tolist()
+    assert all(len(c) == 7 for _, c in got[:-1])
 
 
 def test_a_word_s_share_of_its_class_sums_to_one(spark):
     rows = [(k, f"w{k % 7} x{k % 3} zeta") for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("text")
     counts = lm._word_counts(docs)
-    m = lm.train_model(docs, counts, steps=2)
+    m = lm.train_model(docs, counts)
     own = {int(r["h"]): r for r in counts.collect()}
     mass = np.full(lm.CLASSES, 0.5)
     for h, r in own.items():
@@ -66,6 +111,24 @@ def test_a_word_s_share_of_its_class_sums_to_one(spark):
 
 def test_the_model_beats_the_unigram_where_order_tells(spark, rng):
     langs = [["aa", "ab", "ac", "ad"], ["ba", "bb", "bc", "bd"], ["ca", "cb", "cc", "cd"]]
-    rows = [(k, " ".join(rng.choice(langs[k % 3]) for _ in range(40))) for k in range(200)]
+    rows = [(k, " ".join(rng.choice(langs[k % 3]) for _ in range(40))) for k in range(400)]
     got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
     assert sum(r["score"] for r in got) > 0.85 * sum(r["base_score"] for r in got)
+
+
+def test_every_row_takes_part_in_training(spark, rng):
+    """Words in pairs that stand in other rows than those of the first fit are learned too."""
+    rows = [(" ".join(rng.choice(["aa bb", "cc dd", "ee ff"]) for _ in range(30)),) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "text string").repartition(2)
+    counts = lm._word_counts(docs)
+
+    def mean(warm):
+        lm.WARM_ROWS, kept = warm, lm.WARM_ROWS
+        try:
+            m = lm.train_model(docs, counts)
+        finally:
+            lm.WARM_ROWS = kept
+        return np.mean([m.classes.log_probabilities(m.look_up(*lm.tokens(t.encode()))[0]).mean() for (t,) in rows[:20]])
+
+    first = lm.Bilinear(lm.train_model(docs.limit(0), counts).classes.unigram)
+    assert mean(5) > np.mean([first.log_probabilities(lm.train_model(docs.limit(0), counts).look_up(*lm.tokens(rows[0][0].encode()))[0]).mean()])
