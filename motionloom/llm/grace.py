@@ -28,6 +28,8 @@ FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 MEMORY_BYTES = 64 << 20
 FAN_OUT = 16
 HASH_BYTES = 16
+#: What a record costs a task besides its content, about.
+MEMBER_BYTES = 200
 
 
 class ContentTable:
@@ -69,17 +71,18 @@ class ContentTable:
 def groups(records: Iterable[tuple[bytes, bytes, tuple]], memory: int = MEMORY_BYTES, depth: int = 0) -> Iterator[tuple[bytes, bytes, list[tuple]]]:
     """(hash, content, payloads) of each distinct content among (hash, content, payload) records.
 
-    Fills a table until ``memory`` bytes of distinct content are held. Then what is held and all that follows
+    Fills a table until ``memory`` bytes of distinct contents and payloads are held. Then what is held and all that follows
     is dealt to FAN_OUT spill files by the hash's byte ``depth``, each of which is worked through in the same way.
     Copies of a content that is held cost its payload only.
     """
-    table, payloads, rows = ContentTable(), [], iter(records)
+    table, payloads, rows, held = ContentTable(), [], iter(records), 0
     for h, content, payload in rows:
         e = table.entry(h, content)
         if e == len(payloads):
             payloads.append([])
         payloads[e].append((h, payload))
-        if table.bytes > memory and depth < HASH_BYTES and len(payloads) > 1:
+        held += MEMBER_BYTES
+        if table.bytes + held > memory and depth < HASH_BYTES and len(payloads) > 1:
             break
     else:
         for e, own in enumerate(payloads):
@@ -116,8 +119,8 @@ def _read(f) -> Iterator[tuple[bytes, bytes, tuple]]:
 
 
 def _id_key(i):
-    """Order of ids: a null comes before all others."""
-    return (i is not None, i or 0)
+    """Order of ids of any type: a null comes before all others."""
+    return (False, 0) if i is None else (True, i)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY_BYTES) -> DataFrame:
@@ -135,7 +138,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Copies within the input partition: the row with the largest id stands for its group and carries the content."""
         part, first = TaskContext.get().partitionId(), 0
-        table, members, best = ContentTable(), [], []
+        table, members, best, held = ContentTable(), [], [], 0
         out_schema = None
 
         def flush():
@@ -166,8 +169,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 members[e].append(i)
                 if _id_key(i) > _id_key(members[e][best[e]]):
                     best[e] = len(members[e]) - 1
-            if table.bytes > memory:
-                yield flush()
+                held += MEMBER_BYTES
+                if table.bytes + held > memory:
+                    yield flush()
+                    held = 0
         if members:
             yield flush()
 

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Bounds of a worker's caches; beyond them they are emptied and fill again.
-CACHE_UNITS = 600_000
+#: Bounds of a worker's caches, in bytes of units and their ids and in pairs; beyond them they are emptied and fill again.
+CACHE_BYTES = 160 << 20
+UNIT_BYTES = 250
 BLOCK_CHARS = 4_000_000
 CACHE_PAIRS = 1_500_000
 
@@ -89,6 +90,7 @@ class PieceCodec:
     def _reset(self) -> None:
         self.units: dict[str, str] = {"\n\n": f",{self.byte_id[10]}"}
         self.texts: dict[str, str] = {"\n\n": "\n"}
+        self.held = 0
 
     def _merge(self, s: str) -> list[int]:
         """Direct merging of a short string: the definition that the pair test appeals to."""
@@ -159,7 +161,7 @@ class PieceCodec:
     def learn(self, keys) -> None:
         """Put the units of ``keys`` that aren't there yet into the cache, in sorted order; the cache is bounded."""
         new = [k for k in set(keys) if k not in self.units]
-        if len(self.units) + len(new) > CACHE_UNITS:
+        if self.held > CACHE_BYTES:
             self._reset()
             new = [k for k in set(keys) if k not in self.units]
         named = sorted((k[1:] if k[:1] == "\n" else MARK + k, k) for k in new)
@@ -167,6 +169,7 @@ class PieceCodec:
         for (_, k), ids in zip(named, self.encode_units([s for s, _ in named]), strict=True):
             self.units[k] = "," + ",".join([names[i] for i in ids])
             self.texts[k] = self._decode_pieces(ids)
+            self.held += UNIT_BYTES + 2 * len(k) + len(self.units[k]) + len(self.texts[k])
 
     def _decode_pieces(self, ids) -> str:
         out, run = [], bytearray()

@@ -170,3 +170,16 @@ def test_other_tokenizers_encode_whole_texts():
     w, texts = packing.WordTokens(path), ["  Two  spaces\n\nand lines ", "", "a b<|endoftext|> c"]
     assert not w.by_words
     assert [x.tolist() for x in w.encode(pa.array(texts))] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_groups_of_text_ids_and_small_memory(spark, rng):
+    rows = [(rng.choice(["", "a", "b", "cc", None]) if k % 9 == 0 else f"id{k:03}", rng.choice(["x", "X", "yy", None, "", "long " * 30])) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    for memory in (1, 2000, 1 << 20):
+        got = grace.exact_groups(docs, memory=memory).collect()
+        groups = defaultdict(list)
+        for i, t in rows:
+            groups[(t or "").translate(FOLD)].append(i)
+        want = sorted((str(i), str(max((x for x in own if x is not None), default=None)), len(own), sha(t)) for t, own in groups.items() for i in own)
+        assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in got) == want
+        assert sum(r["kept"] for r in got) == len(groups)
