@@ -16,11 +16,16 @@ def _ranked(taps: DataFrame, action: float) -> DataFrame:
     return own.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("key")))
 
 
-def _steps(rows: DataFrame, value: Column) -> DataFrame:
-    """``value`` may use lead columns ``td1, x1, y1``; the last pair of each recording is left out."""
+def uncounted(taps: DataFrame) -> DataFrame:
+    """``taps`` without the last row of each recording."""
+    return taps.withColumn("end", F.max("seq").over(Window.partitionBy("key"))).where("seq < end").drop("end")
+
+
+def _steps(rows: DataFrame, value: Column, crop: bool = False) -> DataFrame:
+    """``value`` may use lead columns ``td1, x1, y1``; the last pair of each recording is left out, cropped the last two."""
     w = Window.partitionBy("key").orderBy("seq")
     led = rows.select("*", *[F.lead(c).over(w).alias(f"{c}1") for c in ("td", "x", "y")])
-    return led.where("i < n - 2").select("key", "i", value.alias("v"))
+    return led.where(f"i < n - {3 if crop else 2}").select("key", "i", value.alias("v"))
 
 
 def durations(taps: DataFrame, crop: bool = False) -> DataFrame:
@@ -50,24 +55,25 @@ def continuous_frequency(taps: DataFrame) -> DataFrame:
     return _steps(_ranked(taps, 1.0), F.when(d != 0, 1 / d)).select("key", "i", F.col("v").alias("continuous_frequency"))
 
 
-def mean_moving_time(taps: DataFrame) -> DataFrame:
+def mean_moving_time(taps: DataFrame, crop: bool = False) -> DataFrame:
     """Milliseconds, over odd steps."""
-    got = _steps(_ranked(taps, 1.0), F.col("td1") - F.col("td"))
+    got = _steps(_ranked(taps, 1.0), F.col("td1") - F.col("td"), crop)
     return got.where("i % 2 = 1").groupBy("key").agg((F.avg("v") * 1000).alias("mean_moving_time"))
 
 
-def incoordination(taps: DataFrame, legacy: bool = False) -> DataFrame:
-    """Population variance (milliseconds scale) of odd steps from a raise to the next touch, paired by ordinal. ``legacy``: all pairs."""
+def incoordination(taps: DataFrame, legacy: bool = False, crop: bool = False) -> DataFrame:
+    """Population variance (milliseconds scale) of odd steps from a raise to the next touch, paired by ordinal; cropped without the
+    last touch's. ``legacy``: all pairs."""
     down = _ranked(taps, 0.0).select("key", (F.col("i") - 1).alias("i"), F.col("td").alias("d"), F.col("n").alias("nd"))
     up = _ranked(taps, 1.0).select("key", "i", F.col("td").alias("u"), F.col("n").alias("nu"))
-    got = down.where("i >= 0").join(up.where("i < nu - 1"), ["key", "i"]).select("key", "i", (F.col("d") - F.col("u")).alias("v"))
+    got = down.where("i < nd - 2" if crop else "true").where("i >= 0").join(up.where("i < nu - 1"), ["key", "i"]).select("key", "i", (F.col("d") - F.col("u")).alias("v"))
     return (got if legacy else got.where("i % 2 = 1")).groupBy("key").agg((F.var_pop("v") * 1000).alias("incoordination_score"))
 
 
-def alternate_distance(taps: DataFrame, legacy: bool = False) -> DataFrame:
+def alternate_distance(taps: DataFrame, legacy: bool = False, crop: bool = False) -> DataFrame:
     """Mean distance of odd steps between touches. ``legacy``: between all rows."""
     rows = taps.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("seq")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("key"))) if legacy else _ranked(taps, 0.0)
-    got = _steps(rows, F.sqrt((F.col("x1") - F.col("x")) ** 2 + (F.col("y1") - F.col("y")) ** 2))
+    got = _steps(rows, F.sqrt((F.col("x1") - F.col("x")) ** 2 + (F.col("y1") - F.col("y")) ** 2), crop)
     return got.where("i % 2 = 1").groupBy("key").agg(F.avg("v").alias("mean_alnt_target_distance"))
 
 
@@ -75,19 +81,22 @@ def kinesia(taps: DataFrame, crop: bool = False) -> DataFrame:
     return taps.groupBy("key").agg((F.count_if(F.col("action_type") == 1) - (1 if crop else 0)).alias("kinesia_scores"))
 
 
-def akinesia(taps: DataFrame) -> DataFrame:
-    """Absolute mean of touch minus raise, paired by ordinal up to the shorter list."""
+def akinesia(taps: DataFrame, crop: bool = False) -> DataFrame:
+    """Absolute mean of touch minus raise, paired by ordinal up to the shorter list; cropped without the recording's last row."""
+    taps = uncounted(taps) if crop else taps
     down = _ranked(taps, 0.0).select("key", "i", F.col("td").alias("d"))
     up = _ranked(taps, 1.0).select("key", "i", F.col("td").alias("u"))
     return down.join(up, ["key", "i"]).groupBy("key").agg(F.abs(F.avg(F.col("d") - F.col("u"))).alias("akinesia_times"))
 
 
-def dysmetria(taps: DataFrame) -> DataFrame:
+def dysmetria(taps: DataFrame, crop: bool = False) -> DataFrame:
+    """Mean distance of touches from their target; cropped without the recording's last row."""
+    taps = uncounted(taps) if crop else taps
     return taps.where("action_type = 0").groupBy("key").agg(F.avg(F.sqrt((F.col("x") - F.col("x_target")) ** 2 + (F.col("y") - F.col("y_target")) ** 2)).alias("dysmetria_score"))
 
 
 def tap_features(taps: DataFrame, prefix: str = "", targets: bool = True, crop: bool = False) -> DataFrame:
-    """Long rows ``key, feature, value``: seven features, six without targets.
+    """Long rows ``key, feature, value``: seven features, six without targets; ``crop`` as each feature has it.
 
     One ordering ranks touches and raises alike, one aggregation gives all features; only pairs by ordinal meet again,
     as sums over ranks inside it.
@@ -96,28 +105,32 @@ def tap_features(taps: DataFrame, prefix: str = "", targets: bool = True, crop:
     of = Window.partitionBy("key", "action_type")
     led = taps.select("key", "seq", "td", "action_type", "x", "y", *(["x_target", "y_target"] if targets else []), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(of).alias("n"), *[F.lead(c).over(w).alias(f"{c}1") for c in ("td", "x", "y")])
     down, up = F.col("action_type") == 0, F.col("action_type") == 1
-    odd_step = (F.col("i") < F.col("n") - 2) & (F.col("i") % 2 == 1)
+    odd_step = (F.col("i") < F.col("n") - (3 if crop else 2)) & (F.col("i") % 2 == 1)
     far = lambda a, b, c, e: F.sqrt((F.col(a) - F.col(b)) ** 2 + (F.col(c) - F.col(e)) ** 2)
-    touches, raises = F.collect_list(F.when(down, F.struct("i", "td"))), F.collect_list(F.when(up, F.struct("i", "td")))
+    touches, raises = F.collect_list(F.when(down, F.struct("i", "td", "seq"))), F.collect_list(F.when(up, F.struct("i", "td", "seq")))
+    missed = F.when(down, far("x", "x_target", "y", "y_target")) if targets else F.lit(None).cast("double")
     got = led.groupBy("key").agg(
         F.count_if(up).alias("ups"), F.max_by("td", "seq").alias("last"),
         F.avg(F.when(up & odd_step, F.col("td1") - F.col("td"))).alias("moving"),
         F.avg(F.when(down & odd_step, far("x1", "x", "y1", "y"))).alias("alternate"),
         F.array_sort(touches).alias("d"), F.array_sort(raises).alias("u"),
-        *([F.avg(F.when(down, far("x", "x_target", "y", "y_target"))).alias("off")] if targets else []),
+        F.sum(missed).alias("missed"), F.count(missed).alias("hits"), F.max_by(F.struct(missed.alias("x")), "seq").alias("end"), F.max("seq").alias("stop"),
     )
-    both = F.least(F.size("d"), F.size("u"))
+    counted = lambda c: F.filter(c, lambda r: r["seq"] < F.col("stop")) if crop else F.col(c)
+    both = F.least(F.size(counted("d")), F.size(counted("u")))
     paired = F.transform(F.sequence(F.lit(0), both - 1), lambda i: F.get("d", i)["td"] - F.get("u", i)["td"])
     # raise i and the touch after it, whose ordinal is one more; the last raise has none that counts
-    few = F.least(F.size("d") - 1, F.size("u") - 1)
+    few = F.least(F.size("d") - (2 if crop else 1), F.size("u") - 1)
     after = F.transform(F.filter(F.sequence(F.lit(0), few - 1), lambda i: i % 2 == 1), lambda i: F.get("d", i + 1)["td"] - F.get("u", i)["td"])
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
     with_gaps = got.select("*", F.when(both > 0, paired).alias("pairs"), F.when(few > 1, after).alias("gaps"))
     centred = F.transform("gaps", lambda x: (x - mean(F.col("gaps"))) * (x - mean(F.col("gaps"))))
+    last = F.when(F.col("end.x").isNotNull(), 1).otherwise(0)
+    off = F.when(F.col("hits") > last, (F.col("missed") - F.coalesce("end.x", F.lit(0.0))) / (F.col("hits") - last)) if crop else F.when(F.col("hits") > 0, F.col("missed") / F.col("hits"))
     features = {
         "frequency": F.col("ups") / F.col("last") - (1 if crop else 0), "mean_moving_time": F.col("moving") * 1000,
         "incoordination_score": F.when(F.size("gaps") > 0, mean(centred) * 1000), "mean_alnt_target_distance": F.col("alternate"),
-        "kinesia_scores": F.col("ups") - (1 if crop else 0), "akinesia_times": F.abs(mean(F.col("pairs"))), **({"dysmetria_score": F.col("off")} if targets else {}),
+        "kinesia_scores": F.col("ups") - (1 if crop else 0), "akinesia_times": F.abs(mean(F.col("pairs"))), **({"dysmetria_score": off} if targets else {}),
     }
     return with_gaps.select("key", F.explode(F.array(*[F.struct(F.lit(prefix + n).alias("feature"), c.cast("double").alias("value")) for n, c in features.items()])).alias("r")).select("key", "r.*")
 

@@ -20,6 +20,22 @@ def test_tap_metrics_by_hand(spark):
     assert tapping.tap_features(t, "a-").count() == 7 and tapping.tap_features(t, targets=False).count() == 6
 
 
+@pytest.mark.parametrize("crop", [False, True])
+def test_tap_features_are_the_metrics(spark, crop):
+    import random
+
+    r = random.Random(5)
+    rows = [(k, 10 * k + i, float(i) + r.random() / 2, float(r.random() < 0.5), r.random() * 9, r.random() * 9, 4.0, 5.0) for k in range(12) for i in range(r.randint(1, 14))]
+    t = spark.createDataFrame(rows, "key int, seq long, td double, action_type double, x double, y double, x_target double, y_target double")
+    got = {(x["key"], x["feature"]): x["value"] for x in tapping.tap_features(t, "", True, crop).where("value is not null").collect()}
+    want = {}
+    parts = (tapping.frequency(t, crop), tapping.mean_moving_time(t, crop), tapping.incoordination(t, crop=crop), tapping.alternate_distance(t, crop=crop), tapping.kinesia(t, crop), tapping.akinesia(t, crop), tapping.dysmetria(t, crop))
+    for part in parts:
+        name = part.columns[1]
+        want |= {(x["key"], name): float(x[name]) for x in part.where(f"{name} is not null").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_order_of_rows_does_not_matter(spark):
     rows = spark.createDataFrame([(k % 3, k // 3, float((k * 7) % 11)) for k in range(60)], "key int, seq long, v double")
     for f in (series.teager, series.cumulative, lambda x: series.autocorrelation(x, 2), lambda x: series.frames(x, 5, 2)):
