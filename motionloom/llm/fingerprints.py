@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motionloom.llm.common import materialise
+from motionloom.llm.common import input_bytes, materialise
 from motionloom.llm.grace import ContentTable, groups
 
-#: Ranges of ids at most; the driver holds one id for each. Bytes of text in a compressed block, about.
-MAX_RANGES = 16_384
+#: Bytes of the input for each range of ids; a task holds one range at a time. Ranges at most: the driver holds one id for
+#: each, and more would be finer than RANK_ERROR; beyond, ranges grow.
+RANGE_BYTES, MAX_RANGES = 16 << 20, 16_384
+#: Bytes of text in a compressed block, about.
 BLOCK_BYTES = 256 << 10
 RANK_ERROR = 20_000
 
@@ -103,21 +105,25 @@ def _neighbours(docs: DataFrame, ranges: int) -> DataFrame:
         for r in list(held):
             yield block(r)
 
-    return docs.select("id", "text").mapInArrow(deal, "range int, ids array<long>, last array<boolean>, block binary").repartition("range")
+    return docs.select("id", "text").mapInArrow(deal, "range int, ids array<long>, last array<boolean>, block binary").repartition("range").sortWithinPartitions("range")
 
 
 def _in_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
-    """(id, text, next text) of all rows of the ranges that a task holds; ties of ids are in order of their texts.
-
-    Blocks stay compressed; what is sorted is (id, hash of the text) with a block's number and place.
-    """
-    blocks: list[bytes] = []
-    rows: dict[int, list[tuple]] = {}
+    """(id, text, next text) of all rows of a task's ranges, which come one after the other; ties of ids are in order of their texts."""
+    here, blocks, rows = None, [], []
     for b in batches:
         for r, ids, last, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r != here:
+                yield from _in_order(blocks, rows)
+                here, blocks, rows = r, [], []
             for k, (i, flag, t) in enumerate(zip(ids, last, _parts(zstandard.decompress(block)), strict=True)):
-                rows.setdefault(r, []).append((flag, i is not None, i or 0, xxhash.xxh3_128_digest(t), len(blocks), k))
+                rows.append((flag, i is not None, i or 0, xxhash.xxh3_128_digest(t), len(blocks), k))
             blocks.append(block)
+    yield from _in_order(blocks, rows)
+
+
+def _in_order(blocks: list[bytes], rows: list[tuple]) -> Iterator[tuple[int | None, str, str]]:
+    """Rows of one range. Blocks stay compressed; what is sorted is (id, hash of the text) with a block's number and place."""
     open_blocks: dict[int, list[bytes]] = {}
 
     def text(row) -> str:
@@ -128,16 +134,14 @@ def _in_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None,
             open_blocks[n] = list(_parts(zstandard.decompress(blocks[n])))
         return open_blocks[n][row[5]].decode("utf-8")
 
-    for own in rows.values():
-        own.sort()
-        before = None
-        for row in own:
-            t = text(row)
-            if before is not None:
-                yield before[2] if before[1] else None, before_text, t
-            if row[0]:
-                break
-            before, before_text = row, t
+    before = None
+    for row in sorted(rows):
+        t = text(row)
+        if before is not None:
+            yield before[2] if before[1] else None, before_text, t
+        if row[0]:
+            break
+        before, before_text = row, t
 
 
 def shared_hashes(docs: DataFrame, hashed: Callable[[bytes], bytes] = digest, memory: int = 64 << 20) -> DataFrame:
@@ -179,11 +183,12 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Columns: ``id_col, n_chars long`` (code points), ``edited_sha256, fingerprint, edited_fingerprint string,
     near_edited, near_next double``. Null text counts as empty. Rows are in order of id, nulls first, rows with the
-    same id in order of a hash of their texts; repeated rows are rows of their own. A single row follows itself. Other
+    same id in order of a hash of their texts; repeated rows are rows of their own. Ids are whole numbers; texts of any
+    length are read whole. A single row follows itself. Other
     columns aren't read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    n = ranges or min(MAX_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or min(MAX_RANGES, max(4 * tasks, input_bytes(docs, text_col) // RANGE_BYTES))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "own", "edited_fingerprint", "edited_own", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
