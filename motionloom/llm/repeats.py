@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from motionloom.llm.common import freed, materialise
+from motionloom.llm.common import freed, input_bytes, materialise
 from motionloom.llm.shingles import mix, powers, prefix_hash
 
 LENGTH, K = 100, 40
@@ -31,6 +31,8 @@ LENGTH, K = 100, 40
 WIDTH = 8
 CODE = np.random.default_rng(977).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CHUNK_BYTES, BLOCK_BYTES = 48 << 20, 1 << 20
+#: Bytes of the input for each bucket; a task holds one bucket at a time.
+BUCKET_BYTES = 8 << 20
 #: Kinds of blocks: texts, whole contexts that repeat (row, from, to), contexts to compare (row, anchor, from, to).
 TEXT, SPAN, ASK = 0, 1, 2
 
@@ -243,6 +245,28 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 BLOCKS = "kind int, bucket int, blob binary"
 
 
+def bucketwise(run):
+    """``run(bucket, blocks)`` over a task's blocks (kind, blob), a bucket at a time; they come in order of bucket."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for b in batches:
+            for kind, bucket, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != here:
+                    if held:
+                        yield from run(here, held)
+                    here, held = bucket, []
+                held.append((kind, blob))
+        if held:
+            yield from run(here, held)
+
+    return freed(task)
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("bucket").sortWithinPartitions("bucket")
+
+
 def _row_bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(rows.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
@@ -277,14 +301,12 @@ def _find(rows: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
                     held, size = [], 0
         yield flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
-        for b in batches:
-            for kind, bucket, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if kind == SPAN:
-                    yield _batch([(SPAN, -1 - bucket, blob)])
-                else:
-                    got.append(_unblob(blob, 6))
+    def meet(bucket: int, blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        for kind, blob in blocks:
+            if kind == SPAN:
+                yield _batch([(SPAN, -1 - bucket, blob)])
+        got = [_unblob(blob, 6) for kind, blob in blocks if kind != SPAN]
+        blocks.clear()
         if not got:
             return
         g, c, row, at, low, high = np.concatenate(got, axis=1)
@@ -300,7 +322,7 @@ def _find(rows: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
         for b, x in _cut(_row_bucket(row[ask], buckets), row[ask], g[ask], at[ask], low[ask], high[ask]):
             yield _batch([(ASK, b, _blob(*x))])
 
-    return materialise(rows.mapInArrow(freed(mark), BLOCKS).repartition("bucket").mapInArrow(freed(meet), BLOCKS), "anchors")
+    return materialise(_dealt(rows.mapInArrow(freed(mark), BLOCKS)).mapInArrow(bucketwise(meet), BLOCKS), "anchors")
 
 
 def _texts(rows: DataFrame, buckets: int) -> DataFrame:
@@ -338,24 +360,17 @@ def _unpack_texts(blob: bytes) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], kind: int, columns: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Text blocks of a task and the columns of its blocks of ``kind`` in order of row, with each row's first place."""
-    texts, got = [], [np.zeros((columns, 0), np.int64)]
-    for b in batches:
-        for k, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-            if k == TEXT:
-                texts.append(blob)
-            elif k == kind:
-                got.append(_unblob(blob, columns))
-    x = np.concatenate(got, axis=1)
-    return texts, x[:, np.argsort(x[0], kind="stable")], x[0][:0]
+def _gathered(blocks: list[tuple[int, bytes]], kind: int, columns: int) -> tuple[list[bytes], np.ndarray]:
+    """Text blocks and the columns of the blocks of ``kind`` in order of row."""
+    x = np.concatenate([np.zeros((columns, 0), np.int64), *(_unblob(blob, columns) for k, blob in blocks if k == kind)], axis=1)
+    return [blob for k, blob in blocks if k == TEXT], x[:, np.argsort(x[0], kind="stable")]
 
 
 def _compared(found: DataFrame, texts: DataFrame, length: int, buckets: int) -> DataFrame:
     """SPAN blocks from contexts that differ inside their group: their bytes meet by anchor, string by string."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, x, _ = _gathered(batches, ASK, 5)
+    def send(_, blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        blobs, x = _gathered(blocks, ASK, 5)
         held: dict[int, list] = {}
         size: dict[int, int] = {}
 
@@ -376,16 +391,14 @@ def _compared(found: DataFrame, texts: DataFrame, length: int, buckets: int) ->
                         yield _batch([block(b)])
         yield _batch([block(b) for b in list(held)])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(_, blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         heads, bodies = [], []
-        for b in batches:
-            for blob in b.column(2).to_pylist():
-                x = zstandard.decompress(blob)
-                n = int.from_bytes(x[:8], "little")
-                heads.append(np.frombuffer(x, np.int64, 5 * n, 8).reshape(n, 5))
-                bodies.append(x[8 + 40 * n :])
-        if not heads:
-            return
+        for _, blob in blocks:
+            x = zstandard.decompress(blob)
+            n = int.from_bytes(x[:8], "little")
+            heads.append(np.frombuffer(x, np.int64, 5 * n, 8).reshape(n, 5))
+            bodies.append(x[8 + 40 * n :])
+        blocks.clear()
         g, row, at, low, high = np.concatenate(heads).T
         size = high - low
         begin = np.cumsum(size) - size
@@ -431,7 +444,7 @@ def _compared(found: DataFrame, texts: DataFrame, length: int, buckets: int) ->
             yield _batch([(SPAN, k, _blob(*x))])
 
     asked = found.where(f"kind = {ASK}").union(texts)
-    return materialise(asked.repartition("bucket").mapInArrow(freed(send), BLOCKS).repartition("bucket").mapInArrow(freed(compare), BLOCKS), "compared")
+    return materialise(_dealt(_dealt(asked).mapInArrow(bucketwise(send), BLOCKS)).mapInArrow(bucketwise(compare), BLOCKS), "compared")
 
 
 def _ordered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -449,6 +462,10 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
     return every.select((F.col("row") * most + F.col("copy")).alias("row"), "text", "doc"), most
 
 
+def _buckets(docs: DataFrame, text_col: str) -> int:
+    return max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs, text_col) // BUCKET_BYTES)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Removed spans of every row: ``id_col, n_bytes, n_removed, n_spans long, kept_sha256 string, spans array<struct<from,to>>``.
 
@@ -459,7 +476,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     columns aren't read.
     """
     rows, most = _ordered(docs.select(id_col, text_col), id_col, text_col)
-    done = _removed(rows.select("row", "text"), length, k, buckets, False)
+    done = _removed(rows.select("row", "text"), length, k, buckets or _buckets(docs, text_col), False)
     none = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("row"), F.col(text_col).alias("text")).mapInArrow(_untouched, done.schema)
     named = F.floor(F.col("row") / most).cast("long") if most > 1 else F.col("row")
     return done.union(none).select(named.alias(id_col), *done.columns[1:])
@@ -471,7 +488,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str
     Bytes of a character that lost a part go too. Rows with a null id or text stay as they are, also where the id repeats.
     """
     rows, _ = _ordered(docs, id_col, text_col)
-    left = _removed(rows.select("row", "text"), length, k, buckets, True).select(F.col("row").alias("of"), "kept")
+    left = _removed(rows.select("row", "text"), length, k, buckets or _buckets(docs, text_col), True).select(F.col("row").alias("of"), "kept")
     rest = rows.select("row", F.struct(*[(F.col("text").isNotNull().cast("string") if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns]).alias("doc"))
     joined = rest.join(left, F.col("row") == F.col("of"))
     text = F.when(F.col("doc").getField(text_col) == "true", F.col("kept"))
@@ -501,17 +518,15 @@ def _untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _results([_result(None, t or b"", None, False) for t in b.column(1).cast(pa.binary()).to_pylist()])
 
 
-def _removed(plain: DataFrame, length: int, k: int, buckets: int | None, with_text: bool) -> DataFrame:
+def _removed(plain: DataFrame, length: int, k: int, buckets: int, with_text: bool) -> DataFrame:
     """FIELDS of every row of ``row, text`` (``row`` once each), and the remaining text as ``kept`` if asked for."""
-    if buckets is None:
-        buckets = max(64, 2 * int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = _find(plain, length, k, buckets)
     texts = _texts(plain, buckets)
     compared = _compared(found, texts, length, buckets)
     schema = T.StructType([T.StructField(n, t) for n, t in [*FIELDS, *([("kept", T.StringType())] if with_text else [])]])
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, x, _ = _gathered(batches, SPAN, 3)
+    def apply(_, blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        blobs, x = _gathered(blocks, SPAN, 3)
         rows, size = [], 0
         for blob in blobs:
             for r, t in _unpack_texts(blob):
@@ -531,4 +546,4 @@ def _removed(plain: DataFrame, length: int, k: int, buckets: int | None, with_te
             yield _results(rows)
 
     every = found.where(f"kind = {SPAN}").union(compared).union(texts)
-    return every.repartition("bucket").mapInArrow(freed(apply), schema)
+    return _dealt(every).mapInArrow(bucketwise(apply), schema)
