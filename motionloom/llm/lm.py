@@ -220,8 +220,10 @@ def _falling(rate: float, steps: int):
 
 
 def _learn(train: DataFrame, model: Model) -> None:
-    """Fit the class model: first on the rows with the least hashes, WARM_ROWS of them, then on all rows, task by task, and the mean."""
-    start = [model.look_up(*tokens((r[0] or "").encode()))[0] for r in train.orderBy(F.xxhash64("text"), "text").limit(WARM_ROWS).collect()]
+    """Fit the class model: first on about WARM_ROWS rows, by a hash of the row, then on all rows, task by task, and the mean."""
+    rows = int(model.counts[model.hashes == END_HASH].sum())  # every row has one end
+    few = F.pmod(F.xxhash64(*train.columns), F.lit(1 << 30)) < int((1 << 30) * min(1.0, WARM_ROWS / max(rows, 1)))
+    start = [model.look_up(*tokens((r[0] or "").encode()))[0] for r in train.where(few).select("text").collect()]
     if not start:
         return
     steps = WARM_PASSES * -(-sum(map(len, start)) // BATCH)
@@ -244,15 +246,34 @@ def _learn(train: DataFrame, model: Model) -> None:
         mine.learn(batched(sequences()), _falling(RATE, 400), 2 + TaskContext.get().partitionId())
         yield pa.RecordBatch.from_arrays([pa.array([(np.append(mine.flat(), 1.0) * total).tobytes()], pa.binary())], names=["s"])
 
-    read = train.mapInArrow(freed(own), "s binary")
+    read = train.select("text").mapInArrow(freed(own), "s binary")
     total = tree_sum(read, size + 1, lambda b: np.sum([np.frombuffer(x) for x in b.column(0).to_pylist()], axis=0))
     if total[-1]:
         model.classes.load(total[:-1] / total[-1])
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """The end, and all words from such a count on that there are at most FREQUENT of them; counts that differ by less than a tenth go together.
+
+    A histogram finds that count, so no task sends its own most frequent words to the driver.
+    """
+    level = F.floor(F.log2("c") * 8)
+    held, least = 0, math.inf
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):
+        held += r["n"]
+        if held > FREQUENT:
+            break
+        least = r["level"]
+    end = F.col("h") == int(np.array([END_HASH]).view(np.int64)[0])
+    return counts.where(end if least == math.inf else end | (level >= least))
+
+
 def train_model(train: DataFrame, counts: DataFrame) -> Model:
-    """Fit on the rows of ``text``; ``counts`` is their written table of word counts. The driver gets FREQUENT rows of three numbers."""
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h", "g", "c").toArrow()
+    """Fit on the rows of ``text`` (and, to tell rows apart, ``id``); ``counts`` is their written table of word counts.
+
+    The driver gets FREQUENT rows of three numbers, and the texts of about WARM_ROWS rows.
+    """
+    top = _frequent(counts).select("h", "g", "c").toArrow()
     h, group, c = (top.column(k).to_numpy() for k in range(3))
     h, c = h.view(np.uint64).copy(), c.astype(np.int64)
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -277,8 +298,8 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str
     empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    train = base.where(id_crc_mod("id", folds) != fold).select("text")
-    counts = materialise(_word_counts(train), "words")
+    train = base.where(id_crc_mod("id", folds) != fold)
+    counts = materialise(_word_counts(train.select("text")), "words")
     model = train_model(train, counts)
     share = np.log10(model.mass)
     id_type = docs.schema[id_col].dataType.simpleString()
