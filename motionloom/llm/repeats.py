@@ -13,6 +13,7 @@ on the input. :func:`repeats_by_suffix_array` does the same on single bytes for
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -33,6 +34,8 @@ CODE = np.random.default_rng(977).integers(1, 2**63, 256, dtype=np.uint64) * np.
 CHUNK_BYTES, BLOCK_BYTES = 48 << 20, 1 << 20
 #: Bytes of the input for each bucket; a task holds one bucket at a time.
 BUCKET_BYTES = 8 << 20
+#: Bytes of numbers, and of contexts, that a task gathers over its buckets before it deals them out again as blocks.
+HELD_BYTES, SENT_BYTES = 16 << 20, 24 << 20
 #: Kinds of blocks: texts, whole contexts that repeat (row, from, to), contexts to compare (row, anchor, from, to).
 TEXT, SPAN, ASK = 0, 1, 2
 
@@ -245,20 +248,44 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 BLOCKS = "kind int, bucket int, blob binary"
 
 
+class Held:
+    """Columns of numbers to deal out, gathered up to ``limit`` bytes, so that blocks are few and not one for each two buckets."""
+
+    def __init__(self, limit: int = HELD_BYTES):
+        self.limit, self.size, self.of = limit, 0, {}
+
+    def add(self, kind: int, bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(bucket):
+            x = np.stack([np.asarray(c).astype(np.int64, copy=False) for c in (bucket, *columns)])
+            self.of.setdefault(kind, []).append(x)
+            self.size += x.nbytes
+        if self.size > self.limit:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for kind in list(self.of):
+            bucket, *columns = np.concatenate(self.of.pop(kind), axis=1)
+            yield _batch([(kind, b, _blob(*x)) for b, x in _cut(bucket, *columns)])
+        self.size = 0
+
+
 def bucketwise(run):
-    """``run(bucket, blocks)`` over a task's blocks (kind, blob), a bucket at a time; they come in order of bucket."""
+    """``run(parts)`` over a task's blocks; ``parts`` has each bucket in turn with its blocks (kind, blob), which come in order of bucket."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
         here, held = None, []
         for b in batches:
             for kind, bucket, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != here:
                     if held:
-                        yield from run(here, held)
+                        yield here, held
                     here, held = bucket, []
                 held.append((kind, blob))
         if held:
-            yield from run(here, held)
+            yield here, held
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts(batches))
 
     return freed(task)
 
@@ -301,26 +328,27 @@ def _find(rows: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
                     held, size = [], 0
         yield flush()
 
-    def meet(bucket: int, blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        for kind, blob in blocks:
-            if kind == SPAN:
-                yield _batch([(SPAN, -1 - bucket, blob)])
-        got = [_unblob(blob, 6) for kind, blob in blocks if kind != SPAN]
-        blocks.clear()
-        if not got:
-            return
-        g, c, row, at, low, high = np.concatenate(got, axis=1)
-        got.clear()
-        order = np.lexsort((at, row, c, g))
-        g, c, row, at, low, high = (x[order] for x in (g, c, row, at, low, high))
-        new_group = np.concatenate([[True], g[1:] != g[:-1]])
-        first = new_group | np.concatenate([[True], c[1:] != c[:-1]])
-        for b, x in _cut(_row_bucket(row[~first], buckets), row[~first], low[~first], high[~first]):
-            yield _batch([(SPAN, b, _blob(*x))])
-        group = np.cumsum(new_group) - 1
-        ask = first & (np.bincount(group[first], minlength=group[-1] + 1) > 1)[group]
-        for b, x in _cut(_row_bucket(row[ask], buckets), row[ask], g[ask], at[ask], low[ask], high[ask]):
-            yield _batch([(ASK, b, _blob(*x))])
+    def meet(parts) -> Iterator[pa.RecordBatch]:
+        held = Held()
+        for bucket, blocks in parts:
+            if bucket < 0:
+                for _, blob in blocks:
+                    x = _unblob(blob, 3)
+                    yield from held.add(SPAN, np.full(x.shape[1], -1 - bucket), *x)
+                continue
+            got = [_unblob(blob, 6) for _, blob in blocks]
+            blocks.clear()
+            g, c, row, at, low, high = np.concatenate(got, axis=1)
+            got.clear()
+            order = np.lexsort((at, row, c, g))
+            g, c, row, at, low, high = (x[order] for x in (g, c, row, at, low, high))
+            new_group = np.concatenate([[True], g[1:] != g[:-1]])
+            first = new_group | np.concatenate([[True], c[1:] != c[:-1]])
+            yield from held.add(SPAN, _row_bucket(row[~first], buckets), row[~first], low[~first], high[~first])
+            group = np.cumsum(new_group) - 1
+            ask = first & (np.bincount(group[first], minlength=group[-1] + 1) > 1)[group]
+            yield from held.add(ASK, _row_bucket(row[ask], buckets), row[ask], g[ask], at[ask], low[ask], high[ask])
+        yield from held.rest()
 
     return materialise(_dealt(rows.mapInArrow(freed(mark), BLOCKS)).mapInArrow(bucketwise(meet), BLOCKS), "anchors")
 
@@ -369,29 +397,44 @@ def _gathered(blocks: list[tuple[int, bytes]], kind: int, columns: int) -> tuple
 def _compared(found: DataFrame, texts: DataFrame, length: int, buckets: int) -> DataFrame:
     """SPAN blocks from contexts that differ inside their group: their bytes meet by anchor, string by string."""
 
-    def send(_, blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        blobs, x = _gathered(blocks, ASK, 5)
-        held: dict[int, list] = {}
-        size: dict[int, int] = {}
+    def send(parts) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[array, bytearray]] = {}
+        size = 0
 
         def block(b):
-            own = held.pop(b)
-            size.pop(b)
-            head = np.array([len(own), *(v for r in own for v in r[:5])], np.int64).tobytes()
-            return ASK, b, zstandard.compress(head + b"".join(r[5] for r in own), 3)
-
-        for blob in blobs:
-            for r, t in _unpack_texts(blob):
-                i, j = np.searchsorted(x[0], [r, r + 1])
-                for g, at, low, high in x[1:, i:j].T.tolist():
-                    b = g % buckets
-                    held.setdefault(b, []).append((g, r, at, low, high, t[low:high]))
-                    size[b] = size.get(b, 0) + high - low + 40
-                    if size[b] > BLOCK_BYTES:
-                        yield _batch([block(b)])
+            head, body = held.pop(b)
+            return ASK, b, zstandard.compress((len(head) // 5).to_bytes(8, "little") + head.tobytes() + body, 3)
+
+        for _, blocks in parts:
+            blobs, x = _gathered(blocks, ASK, 5)
+            for blob in blobs:
+                for r, t in _unpack_texts(blob):
+                    i, j = np.searchsorted(x[0], [r, r + 1])
+                    for g, at, low, high in x[1:, i:j].T.tolist():
+                        b = g % buckets
+                        if b not in held:
+                            held[b] = array("q"), bytearray()
+                        head, body = held[b]
+                        head.extend((g, r, at, low, high))
+                        body += t[low:high]
+                        size += high - low + 40
+                        if len(body) > BLOCK_BYTES:
+                            size -= len(body) + 8 * len(head)
+                            yield _batch([block(b)])
+                if size > SENT_BYTES:
+                    yield _batch([block(b) for b in list(held)])
+                    size = 0
         yield _batch([block(b) for b in list(held)])
 
-    def compare(_, blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def compare(parts) -> Iterator[pa.RecordBatch]:
+        held = Held()
+        for _, blocks in parts:
+            for spans in again(blocks):
+                yield from held.add(SPAN, *spans)
+        yield from held.rest()
+
+    def again(blocks: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(bucket, row, from, to) of the runs of strings that repeat in a bucket."""
         heads, bodies = [], []
         for _, blob in blocks:
             x = zstandard.decompress(blob)
@@ -430,18 +473,17 @@ def _compared(found: DataFrame, texts: DataFrame, length: int, buckets: int) ->
         offset = low[who] + step - at[who]
         h = mix(mix((p[s + length] - p[s]) * inverse[s]) + mix(g[who].view(np.uint64)) + offset.astype(np.int64).view(np.uint64))
         order = np.argsort(h, kind="stable")  # contexts are in order of row and position already
-        again = np.zeros(len(h), bool)
-        again[order[1:]] = h[order[1:]] == h[order[:-1]]
+        twice = np.zeros(len(h), bool)
+        twice[order[1:]] = h[order[1:]] == h[order[:-1]]
         before = np.full(len(h), -1)
         before[order[1:]] = s[order[:-1]]
-        if not same_bytes(part, s[again], before[again], length):
-            again = _seen_before(part, s, g[who], length)
+        if not same_bytes(part, s[twice], before[twice], length):
+            twice = _seen_before(part, s, g[who], length)
         # runs of strings of one context that repeat are one span
-        first = again & ~np.concatenate([[False], again[:-1] & (step[1:] > 0)])
-        last = again & ~np.concatenate([again[1:] & (step[1:] > 0), [False]])
+        first = twice & ~np.concatenate([[False], twice[:-1] & (step[1:] > 0)])
+        last = twice & ~np.concatenate([twice[1:] & (step[1:] > 0), [False]])
         r, a, b = row[who[first]], (low[who] + step)[first], (low[who] + step)[last] + length
-        for k, x in _cut(_row_bucket(r, buckets), r, a, b):
-            yield _batch([(SPAN, k, _blob(*x))])
+        yield _row_bucket(r, buckets), r, a, b
 
     asked = found.where(f"kind = {ASK}").union(texts)
     return materialise(_dealt(_dealt(asked).mapInArrow(bucketwise(send), BLOCKS)).mapInArrow(bucketwise(compare), BLOCKS), "compared")
@@ -463,7 +505,8 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
 
 
 def _buckets(docs: DataFrame, text_col: str) -> int:
-    return max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs, text_col) // BUCKET_BYTES)
+    """By the input alone: each two buckets may have a block in common, so they must not be more than it needs."""
+    return max(64, input_bytes(docs, text_col) // BUCKET_BYTES)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -525,25 +568,26 @@ def _removed(plain: DataFrame, length: int, k: int, buckets: int, with_text: boo
     compared = _compared(found, texts, length, buckets)
     schema = T.StructType([T.StructField(n, t) for n, t in [*FIELDS, *([("kept", T.StringType())] if with_text else [])]])
 
-    def apply(_, blocks: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        blobs, x = _gathered(blocks, SPAN, 3)
-        rows, size = [], 0
-        for blob in blobs:
-            for r, t in _unpack_texts(blob):
-                i, j = np.searchsorted(x[0], [r, r + 1])
-                gone = None
-                if j > i:
-                    edge = np.zeros(len(t) + 1, np.int32)
-                    np.add.at(edge, x[1, i:j], 1)
-                    np.add.at(edge, x[2, i:j], -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                rows.append(_result(r, t, gone, with_text))
-                size += len(t)
-                if len(rows) >= 5_000 or size > 16 << 20:
-                    yield _results(rows)
-                    rows, size = [], 0
-        if rows:
-            yield _results(rows)
+    def apply(parts) -> Iterator[pa.RecordBatch]:
+        for _, blocks in parts:
+            blobs, x = _gathered(blocks, SPAN, 3)
+            rows, size = [], 0
+            for blob in blobs:
+                for r, t in _unpack_texts(blob):
+                    i, j = np.searchsorted(x[0], [r, r + 1])
+                    gone = None
+                    if j > i:
+                        edge = np.zeros(len(t) + 1, np.int32)
+                        np.add.at(edge, x[1, i:j], 1)
+                        np.add.at(edge, x[2, i:j], -1)
+                        gone = np.cumsum(edge[:-1]) > 0
+                    rows.append(_result(r, t, gone, with_text))
+                    size += len(t)
+                    if len(rows) >= 5_000 or size > 16 << 20:
+                        yield _results(rows)
+                        rows, size = [], 0
+            if rows:
+                yield _results(rows)
 
     every = found.where(f"kind = {SPAN}").union(compared).union(texts)
     return _dealt(every).mapInArrow(bucketwise(apply), schema)

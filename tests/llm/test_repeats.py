@@ -91,3 +91,50 @@ def test_repeats_go_and_rows_stay(spark, rng):
     assert sorted((str(r["doc_id"]), digest(r["text"])) for r in left) == sorted((w[0], w[4]) for w in brute([r[:2] for r in rows], 20))
     assert {r["doc_id"] for r in left if r["text"] is None} == {7}
     assert repeats.drop_repeats(docs.limit(0)).count() == 0
+
+
+def test_blocks_are_few_however_many_the_buckets(spark, rng):
+    """The buckets of a task are dealt out together: no block for each two buckets."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(corpus(rng, 400), "doc_id long, text string").repartition(2)
+    plain = docs.select(F.col("doc_id").alias("row"), "text")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        found = repeats._find(plain, 20, 8, 256)
+        assert found.count() <= 256 * 2
+        assert repeats._compared(found, repeats._texts(plain, 256), 20, 256).count() <= 256
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_buckets_follow_the_input_alone(spark, rng):
+    docs = spark.createDataFrame(corpus(rng, 20), "doc_id long, text string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "500")
+        assert repeats._buckets(docs, "text") == 64
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+@pytest.mark.parametrize("limit", [0, 200, 1 << 20])
+def test_held_rows_come_out_once(rng, limit):
+    import numpy as np
+
+    held, sent, got = repeats.Held(limit), [], []
+    batches = []
+    for _ in range(20):
+        x = np.array([[rng.randrange(5), rng.randrange(-9, 99), rng.randrange(99)] for _ in range(rng.randrange(9))], np.int64).reshape(-1, 3)
+        kind = rng.choice([repeats.SPAN, repeats.ASK])
+        sent += [(kind, *r) for r in x.tolist()]
+        batches += held.add(kind, *x.T)
+    batches += held.rest()
+    for b in batches:
+        for kind, bucket, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got += [(kind, bucket, *r) for r in repeats._unblob(blob, 2).T.tolist()]
+    assert sorted(got) == sorted(sent)
+    assert not held.of
+    if limit == 1 << 20:
+        assert sum(b.num_rows for b in batches) <= 2 * 5
