@@ -20,6 +20,7 @@ from __future__ import annotations
 import copy
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ END_CLASS = CLASSES - 1
 FREQUENT = 1 << 17
 #: Classes before a word that are its context; length of a vector; noise words a token, and drawn for a batch of BATCH tokens.
 POSITIONS, DIM, NOISE, NOISE_DRAWS, BATCH = 6, 16, 16, 32, 2048
-#: Tokens whose scores against all classes are held at once; small enough for a processor's cache.
-SCORED = 512
+#: Tokens whose scores against all classes are held at once; small enough for a processor's cache. Tokens scored in one call.
+SCORED, JOINED = 512, 1 << 15
+#: Scores below this need no shift before their exponentials in single precision, nor do sums of these overflow.
+PLAIN = 75.0
 #: Rows and passes of the first fit on the driver; rates of the first fit and of the tasks, each falling to a tenth.
 WARM_ROWS, WARM_PASSES, WARM_RATE, RATE = 4000, 4, 0.03, 0.005
 CHUNK = 4_000_000
@@ -51,13 +54,14 @@ def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(text, np.uint8)
     if not len(b):
         return np.array([END_HASH]), np.array([END_CLASS])
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[b], [True]]).astype(np.int8)))
+    space = np.ones(len(b) + 2, bool)
+    np.take(_SPACE, b, out=space[1:-1])
+    edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[::2], edge[1::2]
     p = prefix_hash(b)
     h = mix((p[ends] - p[starts]) * powers(len(b) + 1)[1][starts] + (ends - starts).astype(np.uint64))
-    f = FOLD[b].astype(np.int64)
-    second = np.minimum(starts + 1, ends - 1)
-    group = WORDS + (f[starts] * 7 + f[second] * 31 + f[ends - 1] * 101) % GROUPS
+    one, two, last = (FOLD[b[k]].astype(np.int64) for k in (starts, np.minimum(starts + 1, ends - 1), ends - 1))
+    group = WORDS + (one * 7 + two * 31 + last * 101) % GROUPS
     return np.append(h, END_HASH), np.append(group, END_CLASS)
 
 
@@ -68,8 +72,12 @@ def _word_counts(train: DataFrame) -> DataFrame:
         hs, gs, size = [], [], 0
 
         def flush():
-            h, at, n = np.unique(np.concatenate(hs), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.concatenate(gs)[at].astype(np.int32)), pa.array(n)], names=["h", "g", "c"])
+            h = np.concatenate(hs)
+            order = np.argsort(h)
+            h = h[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            g = np.concatenate(gs)[order[at]].astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(g), pa.array(np.diff(at, append=len(h)))], names=["h", "g", "c"])
 
         for b in batches:
             for t in b.column(0).cast(pa.binary()).to_pylist():
@@ -110,23 +118,29 @@ class Bilinear:
     def gradients(self, before: np.ndarray, c: np.ndarray, noise: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean noise-contrastive loss of tokens ``c`` after ``before`` (a column for each position), against drawn classes ``noise``."""
         p, n = self.p, len(self.unigram)
-        moved = p["r"] @ p["m"]
-        h = moved[0][before[:, 0]]
-        for j in range(1, POSITIONS):
-            h = h + moved[j][before[:, j]]
+        h = self.mixed(p["r"] @ p["m"], before)
         level = (np.log(NOISE * self.unigram)).astype(np.float32)
-        own = (h * p["t"][c]).sum(1) + p["b"][c] - level[c]
+        target = p["t"].take(c, axis=0)
+        own = (h * target).sum(1) + p["b"][c] - level[c]
         drawn = h @ p["t"][noise].T + (p["b"] - level)[noise]
         g = -1 / (1 + np.exp(np.clip(own, -30, 30)))
         gn = (NOISE / len(noise)) / (1 + np.exp(np.clip(-drawn, -30, 30)))
         g, gn = g / len(c), gn / len(c)
-        dh = g[:, None] * p["t"][c] + gn @ p["t"][noise]
-        t = _scatter(c, g[:, None] * h, n)
+        dh = g[:, None] * target + gn @ p["t"][noise]
+        t = _scatter([c], g[:, None] * h, n)[0]
         np.add.at(t, noise, gn.T @ h)
-        b = np.bincount(c, g, n) + np.bincount(noise, gn.sum(0), n)
-        each = np.stack([_scatter(before[:, j], dh, n) for j in range(POSITIONS)])
+        b = np.bincount(c, g, n) + np.bincount(noise, np.ones(len(c), np.float32) @ gn, n)
+        each = _scatter(before.T, dh, n)
         return {"r": sum(each[j] @ p["m"][j].T for j in range(POSITIONS)), "m": p["r"].T @ each, "t": t, "b": b}
 
+    @staticmethod
+    def mixed(moved: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Sum over positions of the moved vectors of the classes there."""
+        h = moved[0].take(before[:, 0], axis=0)
+        for j in range(1, POSITIONS):
+            h += moved[j].take(before[:, j], axis=0)
+        return h
+
     def learn(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate, seed: int) -> None:
         """One step of Adam for each batch; ``rate(k)`` is the rate of step k (from 1)."""
         g = np.random.default_rng(seed)
@@ -141,33 +155,64 @@ class Bilinear:
 
     def log_probabilities(self, c: np.ndarray) -> np.ndarray:
         """log10 probability of each class of a whole sequence after those before it, normalised over all classes."""
-        before, moved, out = contexts(c), self.p["r"] @ self.p["m"], np.empty(len(c))
-        targets, scores = np.ascontiguousarray(self.p["t"].T), np.empty((min(SCORED, len(c)), len(self.unigram)), np.float32)
-        for i in range(0, len(c), SCORED):
-            part, own = before[i : i + SCORED], c[i : i + SCORED]
-            h = moved[0][part[:, 0]]
-            for j in range(1, POSITIONS):
-                h += moved[j][part[:, j]]
-            s = np.matmul(h, targets, out=scores[: len(own)])
-            s += self.p["b"]
-            picked = s[np.arange(len(own)), own].astype(float)
-            top = s.max()
-            s -= top
-            np.exp(s, out=s)
-            out[i : i + SCORED] = picked - top - np.log(np.maximum(s.sum(1), 1e-30))
-        return out / math.log(10)
-
-
-def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by number ``at``, as an array of n rows."""
+        return self.scorer()(contexts(c), c)
+
+    def scorer(self):
+        """A function of contexts and classes that gives the classes' log10 probabilities, for many calls."""
+        n, moved = len(self.unigram), self.p["r"] @ self.p["m"]
+        targets = np.concatenate([self.p["t"].T, self.p["b"][None]])  # the bias is one more dimension, where contexts have a one
+        reach, tilt, ones = float(np.sqrt((self.p["t"] ** 2).sum(1).max())), float(np.abs(self.p["b"]).max()), np.ones(n, np.float32)
+        h, scores = np.ones((SCORED, DIM + 1), np.float32), np.empty((SCORED, n), np.float32)
+
+        def run(before: np.ndarray, c: np.ndarray) -> np.ndarray:
+            out = np.empty(len(c))
+            for i in range(0, len(c), SCORED):
+                own = c[i : i + SCORED]
+                m = len(own)
+                h[:m, :DIM] = self.mixed(moved, before[i : i + SCORED])
+                s = np.matmul(h[:m], targets, out=scores[:m])
+                picked = s[np.arange(m), own].astype(float)
+                if math.sqrt(float((h[:m, :DIM] ** 2).sum(1).max())) * reach + tilt > PLAIN:
+                    top = s.max(1)
+                    s -= top[:, None]
+                    picked -= top
+                np.exp(s, out=s)
+                out[i : i + SCORED] = picked - np.log((s @ ones).astype(float))
+            return out / math.log(10)
+
+        return run
+
+
+@lru_cache(maxsize=4)
+def _space(n: int, d: int, rows: int) -> tuple[np.ndarray, ...]:
+    """Numbers of the places of an array (n, d), and room for those of ``rows`` rows and their values, kept since fresh memory costs more than the sums."""
+    return np.arange(n * d).reshape(n, d), np.empty((rows, d), np.int64), np.empty((rows, d))
+
+
+def _scatter(ats, rows: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``ats`` the sums of rows by number, as an array (len(ats), n, d)."""
     d = rows.shape[1]
-    return np.bincount((at[:, None] * d + np.arange(d)).ravel(), rows.ravel(), n * d).reshape(n, d)
+    places, at, values = _space(n, d, len(rows))
+    values[:] = rows
+    out = np.empty((len(ats), n, d), np.float32)
+    for k, x in enumerate(ats):
+        np.take(places, x, axis=0, out=at, mode="clip")
+        out[k] = np.bincount(at.ravel(), values.ravel(), n * d).reshape(n, d)
+    return out
 
 
 def contexts(c: np.ndarray) -> np.ndarray:
     """The classes before each token, nearest first; before the start stands the end's."""
     padded = np.concatenate([np.full(POSITIONS, END_CLASS), c])
-    return np.stack([padded[POSITIONS - j : POSITIONS - j + len(c)] for j in range(1, POSITIONS + 1)], axis=1)
+    return np.stack([padded[POSITIONS - j : POSITIONS - j + len(c)] for j in range(1, POSITIONS + 1)]).T
+
+
+def joined_contexts(c: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The contexts of sequences of ``sizes`` tokens that stand one behind the other in ``c``."""
+    padded = np.full(len(c) + POSITIONS * len(sizes), END_CLASS)
+    at = np.arange(len(c)) + POSITIONS * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    padded[at] = c
+    return np.stack([padded[at - j] for j in range(1, POSITIONS + 1)]).T
 
 
 def batched(sequences: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -197,7 +242,10 @@ class Model:
         ranked = ranked[hashes[ranked] != END_HASH][:WORDS]
         own = np.full(len(hashes), -1)
         own[ranked] = np.arange(len(ranked))
-        self.own = own[order]
+        self.own = np.append(own[order], -1)  # the last is for words that aren't found
+        self.found = np.append(self.counts, -1)
+        self.bits = max(1, min(20, (2 * len(hashes)).bit_length()))
+        self.starts = np.searchsorted(self.hashes, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
         self.n, self.v = n, v
         self.mass = mass  # of each class: what its words' counts, each plus a half, and the half of the unseen come to
         unigram = mass.copy()
@@ -207,12 +255,27 @@ class Model:
 
     def look_up(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class, count) of tokens; count -1 where the word isn't among the frequent ones."""
-        if not len(self.hashes):
-            return group, np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hit = self.hashes[at] == h
-        own = np.where(hit, self.own[at], -1)
-        return np.where(own >= 0, own, group), np.where(hit, self.counts[at], -1)
+        at = self.places(h)
+        own = self.own.take(at)
+        return np.where(own >= 0, own, group), self.found.take(at)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where in the sorted hashes each of ``h`` stands, or their number: from the first one with the same leading bits on."""
+        n = len(self.hashes)
+        if not n:
+            return np.zeros(len(h), np.int64)
+        at = self.starts.take((h >> np.uint64(64 - self.bits)).view(np.int64)).astype(np.int64)
+        there = self.hashes.take(at, mode="clip")
+        out = np.where((there == h) & (at < n), at, n)
+        left = np.flatnonzero((there < h) & (at < n))
+        while len(left):
+            at[left] += 1
+            left = left[at[left] < n]
+            there = self.hashes[at[left]]
+            hit = left[there == h[left]]
+            out[hit] = at[hit]
+            left = left[there < h[left]]
+        return out
 
 
 def _falling(rate: float, steps: int):
@@ -306,24 +369,45 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId() << 33, 0
+        scorer = model.classes.scorer()
+
+        def summed(texts):
+            """n_tokens, n_known, logs, word and the number of words to look up of each of ``texts``, and these words and how often."""
+            read = [tokens(t or b"") for t in texts]
+            sizes = np.array([len(h) for h, _ in read])
+            start = np.cumsum(sizes) - sizes  # every text has its end, so none is empty
+            h = np.concatenate([h for h, _ in read])
+            c, n = model.look_up(h, np.concatenate([g for _, g in read]))
+            known, inside = n >= 0, (c >= WORDS) & (c != END_CLASS)
+            own = np.where(known, np.log10(np.maximum(n, 0) + 0.5), 0.0)
+            word = scorer(joined_contexts(c, sizes), c)
+            word += np.where(inside, own - share[c], 0.0)
+            who = np.repeat(np.arange(len(sizes)), sizes)[~known]
+            rest, many, each = [], [], np.bincount(who, minlength=len(sizes))
+            for x in np.split(h[~known], np.cumsum(each)[:-1]):
+                x, m = np.unique(x, return_counts=True)
+                rest.append(x)
+                many.append(m)
+            return (sizes, np.add.reduceat(known, start, dtype=np.int64), np.add.reduceat(own, start), np.add.reduceat(word, start), np.array([len(x) for x in rest]), np.concatenate(rest).view(np.int64), np.concatenate(many))
+
+        def pieces(texts):
+            held, size = [], 0
+            for t in texts:
+                held.append(t)
+                size += len(t or b"")
+                if size > 8 * JOINED:
+                    yield held
+                    held, size = [], 0
+            if held:
+                yield held
+
         for b in batches:
-            rows, hs, ns = [], [], []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                h, g = tokens(t or b"")
-                c, n = model.look_up(h, g)
-                known = n >= 0
-                logs = float(np.log10(n[known] + 0.5).sum())
-                inside = (c >= WORDS) & (c != END_CLASS)
-                word = float(model.classes.log_probabilities(c).sum()) - float(share[c[inside]].sum())
-                word += float(np.log10(n[known & inside] + 0.5).sum())
-                rest, many = np.unique(h[~known], return_counts=True)
-                rows.append((part + k, len(h), int(known.sum()), logs, word))
-                hs.append(rest.view(np.int64))
-                ns.append(many)
-                k += 1
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), b.column(0), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4]), pa.array([x.tolist() for x in hs], pa.list_(pa.int64())), pa.array([x.tolist() for x in ns], pa.list_(pa.int64()))], names=["row", "id", "n_tokens", "n_known", "logs", "word", "rest", "many"])
+            if b.num_rows:
+                sizes, known, logs, word, each, rest, many = (np.concatenate(x) for x in zip(*map(summed, pieces(b.column(1).cast(pa.binary()).to_pylist())), strict=True))
+                ends = pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32))
+                rows = part + k + np.arange(b.num_rows)
+                k += b.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(rows), b.column(0), pa.array(sizes), pa.array(known), pa.array(logs), pa.array(word), pa.ListArray.from_arrays(ends, pa.array(rest)), pa.ListArray.from_arrays(ends, pa.array(many))], names=["row", "id", "n_tokens", "n_known", "logs", "word", "rest", "many"])
 
     scored = materialise(base.mapInArrow(freed(run), f"row long, id {id_type}, n_tokens long, n_known long, logs double, word double, rest array<long>, many array<long>"), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rest", "many")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.many").alias("m"))

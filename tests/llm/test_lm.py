@@ -132,3 +132,43 @@ def test_every_row_takes_part_in_training(spark, rng):
 
     first = lm.Bilinear(lm.train_model(docs.limit(0), counts).classes.unigram)
     assert mean(5) > np.mean([first.log_probabilities(lm.train_model(docs.limit(0), counts).look_up(*lm.tokens(rows[0][0].encode()))[0]).mean()])
+
+
+def test_scores_of_many_sequences_at_once_are_those_of_each(rng, monkeypatch):
+    monkeypatch.setattr(lm, "END_CLASS", 6)
+    monkeypatch.setattr(lm, "SCORED", 5)
+    b = some_model(rng)
+    sequences = [np.array([rng.randrange(7) for _ in range(rng.randint(1, 20))]) for _ in range(30)]
+    sizes, joined = np.array([len(c) for c in sequences]), np.concatenate(sequences)
+    assert lm.joined_contexts(joined, sizes).tolist() == np.concatenate([lm.contexts(c) for c in sequences]).tolist()
+    got = b.scorer()(lm.joined_contexts(joined, sizes), joined)
+    assert got == pytest.approx(np.concatenate([b.log_probabilities(c) for c in sequences]), abs=1e-5)
+
+
+def test_scores_far_apart_keep_their_probabilities(rng, monkeypatch):
+    """A sequence's scores may lie further apart than single precision's exponentials reach."""
+    monkeypatch.setattr(lm, "END_CLASS", 6)
+    b = some_model(rng)
+    b.p = {k: x * 6 for k, x in b.p.items()}
+    c = np.array([rng.randrange(7) for _ in range(60)])
+    before = [6] * lm.POSITIONS + c.tolist()
+    low = 0
+    for i, x in enumerate(b.log_probabilities(c)):
+        h = sum(b.p["r"][before[i + lm.POSITIONS - 1 - j]].astype(float) @ b.p["m"][j] for j in range(lm.POSITIONS))
+        s = b.p["t"].astype(float) @ h + b.p["b"]
+        low = max(low, abs(s).max())
+        assert x == pytest.approx((s[c[i]] - s.max() - np.log(np.exp(s - s.max()).sum())) / math.log(10), rel=1e-4, abs=1e-3)
+    assert low > 200
+
+
+@pytest.mark.parametrize("many", [0, 1, 3, 5000])
+def test_words_are_found_where_they_stand(many):
+    g = np.random.default_rng(3)
+    h = np.unique(np.append(g.integers(0, 2**63, many, dtype=np.uint64) * np.uint64(2), [lm.END_HASH] * bool(many))).astype(np.uint64)
+    m = lm.Model(h, np.arange(len(h)) + 1, len(h), len(h), np.ones(lm.CLASSES))
+    asked = np.concatenate([h, h + np.uint64(1), g.integers(0, 2**63, 50, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+    place = {int(x): k for k, x in enumerate(h)}
+    assert m.places(asked).tolist() == [place.get(int(x), len(h)) for x in asked]
+    own, count = m.look_up(asked, np.full(len(asked), 300))
+    assert count.tolist() == [place.get(int(x), -2) + 1 for x in asked]
+    assert all((o == 300) == (k < 0 or x == lm.END_HASH or m.own[place[int(x)]] < 0) for o, k, x in zip(own, count, asked, strict=True))
